@@ -127,7 +127,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
         for at, row in enumerate(short):
             sequence = words[first[row] : first[row + 1]]
             steps = mix64(np.arange(1, len(sequence) + 1, dtype=U)) | U(1)
-            alone[at] = mix64(np.array([(sequence * steps).sum(dtype=U) + U(len(sequence)) * U(0xD6E8FEB86659FD93)], U))[0]
+            alone[at] = mix64(np.array([(int((sequence * steps).sum(dtype=U)) + len(sequence) * 0xD6E8FEB86659FD93) % 2**64], U))[0]
         shingles, owner = np.concatenate([shingles, alone]), np.concatenate([owner, short])
         shingles = shingles[np.argsort(owner, kind="stable")]
     sizes = np.maximum(n - k + 1, (n > 0).astype(n.dtype))

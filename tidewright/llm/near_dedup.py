@@ -12,10 +12,12 @@ compared on their whole sets.
 Scale.  Documents with equal sets are one node.  A bucket (documents with one
 band in common) never emits its pairs: its members are first compared with its
 least member, which makes a component of nearly every group in one linear
-round; then with their other buckets' least members; and only then are pairs
-of one bucket compared that lie in different components still, with the
-triangle inequality of the Jaccard distance to the bucket's least member ruling
-out most.  All three rounds verify on the full sets.  Nothing is capped.
+round; then with their other buckets' least members; and only then are members
+of one bucket compared that lie in different components still.  A small bucket
+does so pair by pair, after the triangle inequality of the Jaccard distance to
+its least member has ruled out most; a crowded one in blocks that count common
+shingles by postings and return only links that join two components.  All
+rounds verify on the full sets.  Nothing is capped.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from tidewright.llm._spark import Scratch, components, map_batches
 #: Coordinates in a band and bands: at a similarity of 0.8 a pair shares no band with probability 5e-7.
 BAND_ROWS, BANDS = 6, 48
 _NONE = np.uint64(2**64 - 1)
+#: Buckets of up to so many documents compare what is still apart pair by pair; larger ones in blocks of about so many.
+PAIRED, BLOCK = 48, 512
 
 
 def sketch(shingles: np.ndarray, bounds: np.ndarray, bins: int) -> np.ndarray:
@@ -105,6 +109,36 @@ def _sets(k: int):
     return run
 
 
+def _cross_links(percent: int):
+    """Of one block of a crowded bucket: for each two components, a link between them if there is one."""
+
+    def run(block: pa.Table) -> pa.Table:
+        doc, own = block["doc"].to_numpy(), block["own"].to_numpy()
+        lists = block["items"].combine_chunks()
+        lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
+        sizes = np.diff(lists.offsets.to_numpy())
+        _, item = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        holder = np.repeat(np.arange(len(doc)), sizes)
+        by_item = np.argsort(item, kind="stable")
+        posting, first = holder[by_item], np.concatenate([[0], np.cumsum(np.bincount(item))])
+        ends = np.cumsum(sizes)
+        names, sets_of = np.unique(own, return_inverse=True)
+        main = np.bincount(sets_of).argmax()
+        found = {}
+        for row in np.flatnonzero(sets_of != main):
+            mine = item[ends[row] - sizes[row] : ends[row]]
+            at, length = first[mine], first[mine + 1] - first[mine]
+            steps = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(at, length)
+            common = np.bincount(posting[steps], minlength=len(doc))
+            for other in np.flatnonzero((common * 100 >= (sizes + sizes[row] - common) * percent) & (sets_of != sets_of[row])):
+                pair = (min(own[row], own[other]), max(own[row], own[other]))
+                found.setdefault(pair, (max(doc[row], doc[other]), min(doc[row], doc[other])))
+        a, b = zip(*found.values(), strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, band_rows: int = BAND_ROWS, bands: int = BANDS) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -164,13 +198,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = placed.groupBy("band").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("band")
     placed = placed.join(mixed, "band").join(known.groupBy("doc", "head").agg(F.min("far").alias("far")), ["doc", "head"], "left").withColumn("far", F.when(F.col("doc") == F.col("head"), 0.0).otherwise(F.col("far")))
     placed = scratch.write(placed.select("band", "doc", "own", "far"), "mixed")
-    left, right = placed.alias("l"), placed.alias("r")
+    crowds = placed.groupBy("band").agg(F.count("*").alias("m"))
+    few = placed.join(crowds.where(F.col("m") <= PAIRED), "band", "left_semi")
+    left, right = few.alias("l"), few.alias("r")
     reach = (1 - percent / 100) + 1e-9
     near = F.coalesce(F.abs(F.col("l.far") - F.col("r.far")) <= reach, F.lit(True))
     rest = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.doc") > F.col("r.doc")) & (F.col("l.own") != F.col("r.own")) & near)
     rest = rest.select(F.col("l.doc").alias("a"), F.col("r.doc").alias("b")).distinct()
     third = verified(rest.join(first.union(second).select("a", "b"), ["a", "b"], "left_anti"), "third")
-    found = components(scratch, edges.union(links(third)))
+    many = placed.join(crowds.where(F.col("m") > PAIRED).withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("int")), "band").withColumn("part", F.pmod(F.xxhash64("doc"), "parts").cast("int"))
+    blocks = many.select("band", "doc", "own", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select("band", "doc", "own", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    blocks = blocks.join(sets, "doc").select("band", "i", "j", "doc", "own", "items")
+    crossed = scratch.write(blocks.groupBy("band", "i", "j").applyInArrow(_cross_links(percent), "a long, b long"), "crossed")
+    found = components(scratch, edges.union(links(third)).union(crossed))
 
     lead = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").where("copies > 1 or component is not null")
     lead = lead.select("k1", "k2", "n", F.coalesce("component", "rep").alias("lead"))
