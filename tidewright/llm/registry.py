@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import near_dedup
+from tidewright.llm import near_dedup, sharding, token_counts, warc
 from tidewright.llm._spark import table
 
 NEAR_DEDUP_SQL = r"""
@@ -43,9 +43,47 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=16)
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer="word_bpe_49k.json", limit=2048)
+
+
+WARC_SQL = r"""
+WITH hashed AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS hex FROM pages
+), coded AS (
+  SELECT page_id, n, list_aggregate(flatten(list_transform(range(8), lambda k: list_transform([32768, 1024, 32, 1],
+    lambda d: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(hex, CAST(5 * k + 1 AS INTEGER), 5) AS BIGINT) // d) % 32 + 1 AS INTEGER), 1)))), 'string_agg', '') AS digest
+  FROM hashed
+), firsts AS (
+  SELECT *, min(page_id) OVER (PARTITION BY digest, n) AS original FROM coded
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> original THEN original END AS refers_to
+FROM firsts
+"""
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_resolve(table(spark, sf_dir, "pages"), least_bytes=0)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
+    "op3_sharding": op3_sharding,
+    "op4_token_counts": op4_token_counts,
+    "op8_warc": op8_warc,
+}
+SQL = {"op1_near_dedup": NEAR_DEDUP_SQL, "op8_warc": WARC_SQL}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_near_dedup": op1_near_dedup}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": NEAR_DEDUP_SQL}
+    return dict(SQL)
