@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import near_dedup, sharding, token_counts, warc
+from tidewright.llm import language_id, near_dedup, quality, sharding, token_counts, warc
 from tidewright.llm._spark import table
 
 NEAR_DEDUP_SQL = r"""
@@ -72,11 +72,23 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_resolve(table(spark, sf_dir, "pages"), least_bytes=0)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.learn(docs, folds=3, held=1), folds=3, held=1)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.score(docs, quality.learn(docs, labels, folds=3, held=1), folds=3, held=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op3_sharding": op3_sharding,
     "op4_token_counts": op4_token_counts,
     "op8_warc": op8_warc,
+    "op9_language_id": op9_language_id,
+    "op10_quality": op10_quality,
 }
 SQL = {"op1_near_dedup": NEAR_DEDUP_SQL, "op8_warc": WARC_SQL}
 
