@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import language_id, near_dedup, quality, sharding, token_counts, warc
+from tidewright.llm import language_id, near_dedup, quality, sharding, token_counts, toxicity, warc
 from tidewright.llm._spark import table
 
 NEAR_DEDUP_SQL = r"""
@@ -72,6 +72,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_resolve(table(spark, sf_dir, "pages"), least_bytes=0)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.score(docs, toxicity.learn(docs, labels, folds=5, held=0), folds=5, held=0)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.learn(docs, folds=3, held=1), folds=3, held=1)
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op3_sharding": op3_sharding,
     "op4_token_counts": op4_token_counts,
+    "op6_toxicity": op6_toxicity,
     "op8_warc": op8_warc,
     "op9_language_id": op9_language_id,
     "op10_quality": op10_quality,
