@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import language_id, near_dedup, quality, sharding, token_counts, toxicity, warc
+from tidewright.llm import language_id, near_dedup, nearest, quality, sharding, token_counts, toxicity, warc
 from tidewright.llm._spark import table
 
 NEAR_DEDUP_SQL = r"""
@@ -51,6 +51,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer="word_bpe_49k.json", limit=2048)
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 WARC_SQL = r"""
 WITH hashed AS (
   SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS hex FROM pages
@@ -92,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_token_counts": op4_token_counts,
     "op6_toxicity": op6_toxicity,
+    "op7_nearest": op7_nearest,
     "op8_warc": op8_warc,
     "op9_language_id": op9_language_id,
     "op10_quality": op10_quality,

@@ -142,15 +142,16 @@ def _codes(words: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray, float]]
 
 
 def _maps(words: list[str]) -> np.ndarray:
-    """Normalised maps (words x places) of the words."""
+    """Normalised maps of the words, one a column (places x words)."""
     found, (starts, ends), n = _codes(words)
-    out = np.zeros((len(words), 1 << BITS), np.float32)
+    out = np.zeros((1 << BITS, len(words)), np.float32)
     row = np.zeros(n, int)
     for k, (a, b) in enumerate(zip(starts, ends, strict=True)):
         row[a:b] = k
     for code, counts, w in found:
-        np.add.at(out, (row[counts], code[counts]), np.float32(w))
-    return out / np.sqrt(self_kernel(ends - starts))[:, None].astype(np.float32)
+        np.add.at(out, (code[counts], row[counts]), np.float32(w))
+    out /= np.sqrt(self_kernel(ends - starts)).astype(np.float32)
+    return out
 
 
 def _kernel(words: list[str], marks: np.ndarray) -> np.ndarray:
@@ -259,7 +260,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         positive = sorted(chosen, key=lambda w: (-chosen[w], w))
         negative = [w for w in dict.fromkeys(clean) if w not in chosen]
         marks = positive[: LANDMARKS // 2] + negative[: LANDMARKS // 2]
-        columns = np.ascontiguousarray(_maps(marks).T)
+        columns = _maps(marks)
         value, vector = np.linalg.eigh((columns.T @ columns).astype(np.float64))
         good = value > 1e-6 * value.max()
         project = vector[:, good] / np.sqrt(value[good])
