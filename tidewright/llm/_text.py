@@ -72,9 +72,9 @@ def blocks(offsets: np.ndarray, size: int = BLOCK_BYTES) -> Iterator[tuple[int,
         row = end
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of each word; no word runs over the edge of a text."""
-    solid = ~_SPACE[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, separates: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word; no word runs over the edge of a text.  ``separates``: the bytes between words."""
+    solid = ~separates[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
     starts = solid.copy()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import language_id, near_dedup, nearest, quality, sharding, token_counts, toxicity, warc
+from tidewright.llm import decontaminate, language_id, mixing, near_dedup, nearest, quality, sharding, token_counts, toxicity, warc
 from tidewright.llm._spark import table
 
 NEAR_DEDUP_SQL = r"""
@@ -43,6 +43,14 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=16)
 
@@ -93,8 +101,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_decontamination": op2_decontamination,
     "op3_sharding": op3_sharding,
     "op4_token_counts": op4_token_counts,
+    "op5_mixing": op5_mixing,
     "op6_toxicity": op6_toxicity,
     "op7_nearest": op7_nearest,
     "op8_warc": op8_warc,
