@@ -64,7 +64,7 @@ def ship(spark: SparkSession) -> None:
         spark.sparkContext.addPyFile(str(target))
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str | T.StructType) -> DataFrame:
     """mapInArrow of a function of one batch.  The function is called with whole batches in the order they come."""
 
     ship(df.sparkSession)

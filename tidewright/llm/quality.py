@@ -156,3 +156,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = map_batches(source, run, "doc_id long, score double")
     return out.select("doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text the model predicts 1 for; all columns stay as they are.
+
+    Rows pass through the scorer whole, so that no join is needed to apply its decisions.
+    """
+    names = docs.columns
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        text = batch.column(names.index(text_col)).cast(pa.string())
+        return batch.filter(pa.array(model.scores(_featured(text)) >= 0.5))
+
+    return map_batches(docs, run, docs.schema)
