@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewright import functions as f
+from tidewright import sources
 from tidewright.operators import bag
 from tidewright.operators.ordering import keyset_after, sort_columns
 from tidewright.plans.builder import Query
-from tidewright.plans.ir import Table
+from tidewright.plans.ir import Ref, Table
+from tidewright.plans.predicates import Subset
+from tidewright.streaming import cdc
+from tidewright.streaming.live import LiveQuery
 
 KEYS = {
     "region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"],
@@ -498,3 +503,114 @@ def fn_select(t: Tables) -> Query:
 @query("fn_having", "SELECT event_type, count(*) AS n FROM events GROUP BY 1 HAVING count(*) % 2 = 0")
 def fn_having(t: Tables) -> Query:
     return src(e=t.events).group_by(lambda r: r.e.event_type).select(lambda r: {"event_type": r.e.event_type, "n": f.count(r.e.event_id)}).fn_having(lambda p: p["n"] % 2 == 0)
+
+
+# change feeds and maintained queries
+
+_CHANGES = """SELECT event_id, user_id, ts, value, event_type, CASE WHEN event_type = 'purchase' AND value > 80 THEN 'delete' WHEN event_id % 4 = 0 THEN 'insert' ELSE 'update' END AS type FROM events"""
+
+
+def _feed(t: Tables) -> DataFrame:
+    kind = F.when((F.col("event_type") == "purchase") & (F.col("value") > 80), "delete").when(F.col("event_id") % 4 == 0, "insert").otherwise("update")
+    return t.df("events").select("event_id", "user_id", "ts", "value", "event_type", kind.alias("type"))
+
+
+@query("cdc_latest", "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
+def cdc_latest(t: Tables) -> DataFrame:
+    return cdc.latest(t.df("events").select("user_id", "event_id", "event_type", "value", "ts"), ["user_id"], ["ts", "event_id"]).drop("ts")
+
+
+@query("cdc_apply_full", f"""WITH c AS ({_CHANGES}), last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM c) WHERE k = 1)
+  SELECT c_custkey AS user_id, c_acctbal AS value, c_mktsegment AS event_type FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM last) UNION ALL
+  SELECT user_id, value, event_type FROM last WHERE type <> 'delete'""")
+def cdc_apply_full(t: Tables) -> DataFrame:
+    base = t.df("customer").selectExpr("c_custkey as user_id", "c_acctbal as value", "c_mktsegment as event_type")
+    return cdc.apply_changes(base, _feed(t), ["user_id"], ["ts", "event_id"])
+
+
+@query("cdc_apply_partial", """WITH c AS (SELECT user_id, ts, event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS value, CASE WHEN event_id % 2 = 0 THEN NULL ELSE event_type END AS event_type FROM events),
+  m AS (SELECT user_id, max_by(value, (ts, event_id)) FILTER (value IS NOT NULL) AS v, max_by(event_type, (ts, event_id)) FILTER (event_type IS NOT NULL) AS e FROM c GROUP BY 1)
+  SELECT coalesce(user_id, c_custkey) AS user_id, coalesce(v, c_acctbal) AS value, coalesce(e, c_mktsegment) AS event_type FROM customer FULL JOIN m ON c_custkey = user_id""")
+def cdc_apply_partial(t: Tables) -> DataFrame:
+    base = t.df("customer").selectExpr("c_custkey as user_id", "c_acctbal as value", "c_mktsegment as event_type")
+    some = t.df("events").selectExpr("user_id", "ts", "event_id", "if(event_id % 3 = 0, null, value) as value", "if(event_id % 2 = 0, null, event_type) as event_type", "'update' as type")
+    return cdc.apply_changes(base, some, ["user_id"], ["ts", "event_id"], mode="partial")
+
+
+_STATES = """WITH b AS (SELECT user_id, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-10' AND event_type = 'click' GROUP BY 1),
+  a AS (SELECT user_id, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-12' AND ts >= TIMESTAMP '2024-01-02' AND event_type = 'click' GROUP BY 1)"""
+
+
+def _states(t: Tables) -> list[DataFrame]:
+    e = t.df("events").where("event_type = 'click'")
+    early, late = e.where(F.col("ts") < F.lit("2024-01-10").cast("timestamp")), e.where((F.col("ts") < F.lit("2024-01-12").cast("timestamp")) & (F.col("ts") >= F.lit("2024-01-02").cast("timestamp")))
+    return [x.groupBy("user_id").agg(F.count("*").alias("n")) for x in (early, late)]
+
+
+@query("effects_diff", f"""{_STATES} SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN b.user_id IS NULL THEN 'enter' WHEN a.user_id IS NULL THEN 'exit' ELSE 'update' END AS event,
+  a.n AS now, b.n AS before FROM a FULL JOIN b ON a.user_id = b.user_id WHERE a.n IS DISTINCT FROM b.n""")
+def effects_diff(t: Tables) -> DataFrame:
+    return cdc.diff(*_states(t), ["user_id"]).select("user_id", "event", F.col("value.n").alias("now"), F.col("previous.n").alias("before"))
+
+
+@query("subscription_move", """WITH c AS (SELECT event_id, value AS new, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old FROM events)
+  SELECT event_id, CASE WHEN old IS NULL THEN 'insert' WHEN new > 50 AND old > 50 THEN 'update' WHEN new > 50 THEN 'insert' ELSE 'delete' END AS type, CASE WHEN new > 50 THEN new ELSE old END AS value
+  FROM c WHERE new > 50 OR old > 50""")
+def subscription_move(t: Tables) -> DataFrame:
+    old = F.lag("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    feed = t.df("events").withColumn("old", old).select("event_id", F.when(F.col("old").isNull(), "insert").otherwise("update").alias("type"), F.struct(F.col("value").alias("v")).alias("value"), F.when(F.col("old").isNotNull(), F.struct(F.col("old").alias("v"))).alias("previous"))
+    return cdc.filter_feed(feed, lambda c: c("v") > 50).select("event_id", "type", F.col("value.v").alias("value"))
+
+
+@query("cdc_deltas", """WITH c AS (SELECT event_type, value AS new, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old FROM events)
+  SELECT value, sum(m)::BIGINT AS _mult FROM (SELECT new AS value, 1 AS m FROM c UNION ALL SELECT old, -1 FROM c WHERE old IS NOT NULL) GROUP BY 1 HAVING sum(m) <> 0""")
+def cdc_deltas(t: Tables) -> DataFrame:
+    old = F.lag("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    feed = t.df("events").withColumn("old", old).select(F.when(F.col("old").isNull(), "insert").otherwise("update").alias("type"), F.struct("value").alias("value"), F.when(F.col("old").isNotNull(), F.struct(F.col("old").alias("value"))).alias("previous"))
+    return bag.consolidate(cdc.to_deltas(feed))
+
+
+@query("cdc_net", """SELECT user_id, CASE WHEN sum((event_id % 2)::INT) = 0 THEN 'insert' WHEN min(event_id % 2) = 1 THEN 'delete' ELSE 'update' END AS type,
+  coalesce(max_by(value, event_id) FILTER (event_id % 2 = 0), max_by(value, event_id) FILTER (event_id % 2 = 1)) AS value FROM events GROUP BY 1""")
+def cdc_net(t: Tables) -> DataFrame:
+    deltas = t.df("events").select("user_id", "value", F.col("event_id").alias("seq"), F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1).cast("long").alias(bag.M))
+    return cdc.net(deltas, ["user_id"], "seq").select("user_id", "type", F.col("value.value").alias("value"))
+
+
+@query("snapshot_feed", "SELECT event_id, 'insert' AS type, value FROM events WHERE value > 90 ORDER BY value DESC, event_id LIMIT 50")
+def snapshot_feed(t: Tables) -> DataFrame:
+    out = cdc.snapshot(t.df("events").select("event_id", "value"), ["event_id"], F.col("value") > 90, [F.desc("value"), F.col("event_id")], 50)
+    return out.select("event_id", "type", F.col("value.value").alias("value"))
+
+
+@query("live_incremental_agg", "SELECT event_type, count(*) AS n, sum(value) AS total FROM events WHERE NOT (event_id % 10 = 3) GROUP BY 1")
+def live_incremental_agg(t: Tables) -> DataFrame:
+    """Four batches of inserts and one of deletes, each maintained for the affected keys only."""
+    build = lambda b: src(e=b["e"]).group_by(lambda r: r.e.event_type).select(lambda r: {"event_type": r.e.event_type, "n": f.count(r.e.event_id), "total": f.sum_(r.e.value)})
+    rows = t.df("events").select("event_id", "event_type", "value")
+    path = f"{sources.shared_dir(t.spark)}/live-{uuid.uuid4().hex}"
+    live = LiveQuery(t.spark, path, build, {"e": Table(rows.where("event_id % 4 = 0"), ("event_id",), "e")}, ["event_type"], {"e": {"event_type": "event_type"}})
+    for k in (1, 2, 3):
+        live.apply("e", rows.where(f"event_id % 4 = {k}").withColumn("seq", F.lit(k)).withColumn("type", F.lit("insert")), k)
+    live.apply("e", rows.where("event_id % 10 = 3").withColumn("seq", F.lit(9)).withColumn("type", F.lit("delete")), 9)
+    return live.df()
+
+
+@query("tx_log_pull", "SELECT event_id, value FROM events WHERE event_id < 1500 AND event_id >= 500")
+def tx_log_pull(t: Tables) -> DataFrame:
+    log = sources.TxLog(t.spark, f"{sources.shared_dir(t.spark)}/log-{uuid.uuid4().hex}", ["event_id"])
+    rows = t.df("events").select("event_id", "value").withColumn("type", F.lit("insert"))
+    for low, high in ((0, 500), (500, 1000), (1000, 1500)):
+        log.append(rows.where(f"event_id >= {low} and event_id < {high}"))
+    return log.pull_since(1)[1].select("event_id", "value")
+
+
+@query("subset_load", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000 AND o_totalprice < 150000")
+def subset_load(t: Tables) -> DataFrame:
+    """Two overlapping loads and one that they cover; the last reads nothing from the source."""
+    table = Table(t.df("orders").select("o_orderkey", "o_totalprice"), ("o_orderkey",), "orders")
+    source = sources.SubsetSource(table, sources.VersionedTable(t.spark, f"{sources.shared_dir(t.spark)}/subset-{uuid.uuid4().hex}"))
+    price = Ref("t", ("o_totalprice",))
+    source.load(Subset(f.gt(price, 120000)))
+    source.load(Subset(f.gt(price, 100000)))
+    return source.load(Subset(f.and_(f.gt(price, 100000), f.lt(price, 150000))))
