@@ -111,4 +111,9 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct().toDF("node", "component"))
 
 
-LONGS = T.ArrayType(T.LongType(), False)
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the frame doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name

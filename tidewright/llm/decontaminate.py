@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm import _text as X
-from tidewright.llm._spark import Scratch, map_batches
+from tidewright.llm._spark import Scratch, fresh, map_batches
 
 #: Masks over runs of words: 1 keeps a position.  Fixed spaced seeds of weight 6 (and of weight 4 for short items).
 SEEDS = ("110100110101", "111010010011", "1101100101", "1111011", "111111")
@@ -108,10 +108,11 @@ def plant(ids: list[int], texts: list[str]) -> Seeds:
 
 
 def _best_stretch(equal: np.ndarray) -> tuple[int, int]:
-    """The stretch with the most equal words less twice the others, which begins and ends with equal ones."""
+    """The stretch with the most equal words less twice the others, the longest of several; it begins and ends with equal ones."""
     sums = np.concatenate([[0], np.cumsum(np.where(equal, 1, -2))])
     least = np.minimum.accumulate(sums)
-    end = int(np.argmax(sums - least))
+    gain = sums - least
+    end = len(gain) - 1 - int(np.argmax(gain[::-1])) if gain.max() > 0 else 0
     start = int(np.argmax(sums[: end + 1] == least[end])) if end else 0
     return start, end
 
@@ -193,5 +194,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose id has no leak; all columns stay as they are, and rows with a null id stay."""
-    bad = leaks(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("__bad")).where("__bad is not null").distinct()
-    return docs.join(bad, F.col(id_col).cast("long") == F.col("__bad"), "left_anti")
+    mark = fresh(docs, "bad")
+    bad = leaks(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias(mark)).where(F.col(mark).isNotNull()).distinct()
+    return docs.join(bad, F.col(id_col).cast("long") == F.col(mark), "left_anti")

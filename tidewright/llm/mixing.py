@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm._spark import Scratch
+from tidewright.llm._spark import Scratch, fresh
 
 #: The domains, as (quality, toxic), and the columns of their posteriors.
 DOMAINS = ((0, 0), (0, 1), (1, 0), (1, 1))
@@ -146,6 +146,7 @@ def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def apply_mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, each as often as its copies say; rows with a null or repeated id as often as one of theirs says."""
-    copies = mix(docs, labels, id_col, text_col, **options).groupBy("doc_id").agg(F.max("copies").alias("__copies")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(copies, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest(F.col("__copies"), F.lit(1))))).where("__copies > 0").select(*docs.columns)
+    mark, times, copy = (fresh(docs, x) for x in ("mark", "times", "copy"))
+    copies = mix(docs, labels, id_col, text_col, **options).groupBy("doc_id").agg(F.max("copies").alias(times)).withColumnRenamed("doc_id", mark)
+    joined = docs.join(copies.where(F.col(times) > 0), F.col(id_col).cast("long").eqNullSafe(F.col(mark)))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*docs.columns)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm import _text as X
-from tidewright.llm._spark import Scratch, components, map_batches
+from tidewright.llm._spark import Scratch, components, fresh, map_batches
 
 #: Coordinates in a band and bands: at a similarity of 0.8 a pair shares no band with probability 5e-7.
 BAND_ROWS, BANDS = 6, 48
@@ -215,10 +215,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lead = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").where("copies > 1 or component is not null")
     lead = lead.select("k1", "k2", "n", F.coalesce("component", "rep").alias("lead"))
     out = drawn.select("doc_id", "n", "k1", "k2").join(lead, ["k1", "k2", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("lead", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("lead", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` without those that near_duplicates() does not keep; all columns stay as they are."""
-    gone = near_duplicates(docs, id_col, text_col, **options).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone.distinct(), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    mark = fresh(docs, "gone")
+    gone = near_duplicates(docs, id_col, text_col, **options).where(~F.col("kept")).select(F.col("doc_id").alias(mark))
+    return docs.join(gone.distinct(), F.col(id_col).cast("long") == F.col(mark), "left_anti")
