@@ -5,7 +5,7 @@ table are items of their own, the others share a fixed number of hashed items;
 groups larger than a shard's fair share are cut by row first.  Only the items'
 totals - a bounded number, whatever the table's size - reach the driver, which
 places them from the largest down, each in the shard whose residual capacity
-has the highest dot product with it.  Slots come from counts of small cells of
+has the highest dot product with it, and then evens out bytes by single moves.  Slots come from counts of small cells of
 items, so that no task orders a whole shard.
 """
 
@@ -36,9 +36,25 @@ def pack(items: np.ndarray, shards: int) -> np.ndarray:
         open_ = residual[:, 0] > 0
         out[k] = at = int(np.argmax(np.where(open_, room, -np.inf))) if open_.any() else int(np.argmax(residual[:, 0]))
         residual[at] -= share[k]
+    _even_out(share[:, 0], out, shards)
     return out
 
 
+def _even_out(size: np.ndarray, home: np.ndarray, shards: int, moves: int = 2000, near: float = 1e-3) -> None:
+    """Moves items from the fullest shard to the emptiest, each time the one nearest half their difference, until bytes differ by little."""
+    held = np.bincount(home, size, shards)
+    for _ in range(moves):
+        top, low = int(held.argmax()), int(held.argmin())
+        gap = held[top] - held[low]
+        mine = np.flatnonzero((home == top) & (size < gap) & (size > 0))
+        if gap <= near or not len(mine):
+            return
+        item = mine[np.abs(size[mine] - gap / 2).argmin()]
+        home[item] = low
+        held[top] -= size[item]
+        held[low] += size[item]
+
+
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16) -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, law, shard, slot, grown_shard, n_words, item.
 
@@ -75,22 +91,20 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     placed = rows.join(F.broadcast(own), group, "left")
     piece = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.coalesce("cuts", F.lit(1)))
     item = F.when(F.col("own").isNull(), -1 - F.pmod("key", F.lit(PARTS))).otherwise(F.col("own").cast("long") * 4096 + piece)
-    placed = placed.withColumn("item", item).withColumn("cell", F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(64)))
-    cells = placed.groupBy("item", "cell").agg(*sums)
-    # At most 64 cells of each of a bounded number of items.
-    cells = sorted((tuple(r) for r in cells.collect()), key=lambda r: r[:2])
-    names = sorted({r[0] for r in cells})
-    at = {x: k for k, x in enumerate(names)}
-    totals = np.zeros((len(names), 3))
-    for r in cells:
-        totals[at[r[0]]] += r[2:]
-    where = pack(totals, shards)
+    placed = placed.withColumn("item", item).drop("own", "cuts")
+    # At most PARTS shared items, three times PARTS of their own, and the pieces of those cut.
+    items = sorted((tuple(r) for r in placed.groupBy("item").agg(*sums).collect()), key=lambda r: r[0])
+    where = pack(np.array([r[1:] for r in items]), shards)
+    homes = [(r[0], int(s), max(1, math.ceil(r[3] * PARTS / max(total["rows"], 1)))) for r, s in zip(items, where, strict=True)]
+    placed = placed.join(F.broadcast(spark.createDataFrame(homes, "item long, shard int, parts int")), "item")
+    placed = placed.withColumn("cell", F.pmod(F.xxhash64(F.lit(2), "doc_id"), "parts"))
+    # At most PARTS cells more than there are items.
+    cells = sorted(tuple(r) for r in placed.groupBy("shard", "item", "cell").count().collect())
     filled, starts = [0] * shards, []
-    for r in cells:
-        s = int(where[at[r[0]]])
-        starts.append((r[0], r[1], s, filled[s]))
-        filled[s] += r[4]
-    starts = spark.createDataFrame(starts, "item long, cell long, shard int, start long")
+    for s, name, cell, n in cells:
+        starts.append((name, cell, filled[s]))
+        filled[s] += n
+    starts = spark.createDataFrame(starts, "item long, cell long, start long")
     out = placed.join(F.broadcast(starts), ["item", "cell"])
     order = Window.partitionBy("item", "cell").orderBy("doc_id", "text_crc32")
     return out.select(
