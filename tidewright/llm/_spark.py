@@ -24,7 +24,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder, so that a lost executor costs no recomputation and lineage stays short."""
+    """Tables written to the shared folder, so that a lost executor costs no recomputation and lineage stays short.
+
+    They go when the application ends; results are read from them until then.
+    """
 
     def __init__(self, spark: SparkSession):
         ship(spark)
@@ -34,7 +37,15 @@ class Scratch:
         self.n += 1
         return f"{self.root}/{self.n:03d}-{label}"
 
+    def _at(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+
     def write(self, df: DataFrame, label: str) -> DataFrame:
+        if not self.n:
+            files, root = self._at(self.root)
+            files.mkdirs(root)
+            files.deleteOnExit(root)
         df.write.parquet(path := self.path(label))
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
@@ -44,8 +55,8 @@ class Scratch:
         """Deletes tables that nothing still to run reads."""
         for df in tables:
             if path := getattr(df, "_scratch_path", None):
-                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+                files, where = self._at(path)
+                files.delete(where, True)
 
 
 _shipped: set[str] = set()

@@ -25,7 +25,7 @@ from tidewright.llm import _text as X
 from tidewright.llm._spark import Scratch, fresh, map_batches
 
 #: Masks over runs of words: 1 keeps a position.  Fixed spaced seeds of weight 6 (and of weight 4 for short items).
-SEEDS = ("110100110101", "111010010011", "1101100101", "1111011", "111111")
+SEEDS = ("110100110101", "111010010011", "10101001101", "1101100101", "1100111001", "110001111", "1111011", "111111")
 SHORT_SEEDS = ("11011", "1111")
 #: Items of fewer words than this are compared as wholes only.
 LEAST = 5

@@ -26,14 +26,22 @@ from tidewright.llm._spark import Scratch, map_batches
 
 #: Vectors to learn from at most, rows a cell is meant to have, cells at most, cells a query visits, candidates measured exactly in each chunk.
 SAMPLE, CELL_ROWS, CELLS, PROBES, RERANKED = 20_000, 512, 1024, 24, 120
+#: Bytes of the sample at most, for long vectors.
+SAMPLE_BYTES = 24_000_000
 #: The inner product, as a share of the largest, above which errors matter; it sets the weight of parallel error.
 THRESHOLD = 0.2
 
 
 def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances less the squared lengths of ``x``."""
     return (centres * centres).sum(1)[None] - 2 * x @ centres.T
 
 
+def _own(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each row, a block of rows at a time."""
+    return np.concatenate([_distances(x[k : k + 2048], centres).argmin(1) for k in range(0, len(x), 2048)]) if len(x) else np.empty(0, np.int64)
+
+
 @dataclass
 class Index:
     centres: np.ndarray
@@ -45,7 +53,7 @@ class Index:
         return self.centres.shape[1]
 
     def cells(self, x: np.ndarray) -> np.ndarray:
-        return _distances(x, self.centres).argmin(1)
+        return _own(x, self.centres)
 
     def residuals(self, x: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Residuals to the cells' centres as directions and lengths, so that tight clusters are coded as finely as wide ones."""
@@ -80,12 +88,12 @@ def learn(x: np.ndarray, cells: int, rounds: int = 10, seed: int = 7) -> Index:
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), min(cells, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        own = _distances(x, centres).argmin(1)
+        own = _own(x, centres)
         count = np.bincount(own, minlength=len(centres))
         sums = np.zeros_like(centres)
         np.add.at(sums, own, x)
         centres = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], centres)
-    own = _distances(x, centres).argmin(1)
+    own = _own(x, centres)
     pairs = x.shape[1] // 2
     books = np.zeros((pairs, 16, 2))
     index = Index(centres, books, max(1.0, (x.shape[1] - 1) * THRESHOLD**2 / (1 - THRESHOLD**2)))
@@ -161,11 +169,13 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     if length % 2:
         rows = rows.withColumn("v", F.concat("v", F.array(F.lit(0.0))))
     dim = length + length % 2
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow()
+    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(256, min(sample, SAMPLE_BYTES // (8 * dim)))).select("v").toArrow()
     cells = int(min(max(n // CELL_ROWS, 8), CELLS))
     index = learn(_matrix(drawn["v"], dim), cells)
+    shared = spark.sparkContext.broadcast(index)
 
     def encode(batch: pa.RecordBatch) -> pa.Table:
+        index = shared.value
         x = _matrix(batch.column(1), dim)
         own = index.cells(x)
         codes = index.encode(x, own)
@@ -188,7 +198,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
     def visit(batch: pa.RecordBatch) -> pa.Table:
         x = _matrix(batch.column(1), dim)
-        order = np.argsort(_distances(x, index.centres), axis=1, kind="stable")
+        order = np.argsort(_distances(x, shared.value.centres), axis=1, kind="stable")
         held = np.cumsum(counts[order], axis=1)
         visited = np.maximum(probes, (held <= k).sum(1) + 1)
         query, cell, chunk = [], [], []
@@ -210,6 +220,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         empty = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["query_id", "vec_id", "score"])
         if not left.num_rows or not right.num_rows:
             return empty
+        index = shared.value
         left = left.sort_by("vec_id")  # equal scores then keep the smaller ids
         ids, x = left["vec_id"].to_numpy(), _matrix(left["v"], dim)
         packed = np.array([np.frombuffer(c, np.uint8) for c in left["codes"].to_pylist()])
