@@ -70,6 +70,13 @@ def test_groups(spark):
     assert {tuple(r) for r in bag.count(frame(spark, items), ["k"]).collect()} == {("a", 4), ("c", 2)}
 
 
+def test_one_group_and_an_index_over_all(spark):
+    items = [(("a", 1), 3), (("b", 5), 1)]
+    assert [tuple(r) for r in bag.group_by(frame(spark, items), [], s=("sum", "v"), common=("mode", "v")).collect()] == [(8, 1)]
+    df = spark.range(0, 500, 1, 7).select(((F.col("id") * 37) % 500).alias("v"))
+    assert sorted(map(tuple, bag.top_k(df, [F.desc("v")], None, 490, index="n").collect())) == [(v, 499 - v) for v in range(10)]
+
+
 def test_distinct_and_expand(spark):
     items = [(("a", 1), 2), (("a", 2), 1), (("b", 1), -1)]
     assert dict(counted(bag.distinct(frame(spark, items), ["k"], ["v"]))) == {("a", 1): 1}

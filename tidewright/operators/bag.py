@@ -7,6 +7,7 @@ before they are shuffled and joins are Catalyst's to choose.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -100,8 +101,10 @@ def count(bag: DataFrame, by: list[str]) -> DataFrame:
 def group_by(bag: DataFrame, by: list[str], **aggs: tuple[str, str]) -> DataFrame:
     """Aggregates weighed by multiplicity: name=(function, column); functions are sum, count, avg, min, max, median, mode.
 
-    Groups whose multiplicities don't sum to more than 0 vanish.
+    Groups whose multiplicities don't sum to more than 0 vanish.  Without ``by`` the whole bag is one group.
     """
+    if not by:
+        return group_by(bag.withColumn("__all", F.lit(1)), ["__all"], **aggs).drop("__all")
     bag = consolidate(bag)
     weight = F.col(M)
     made: list[Column] = []
@@ -126,7 +129,7 @@ def group_by(bag: DataFrame, by: list[str], **aggs: tuple[str, str]) -> DataFram
     for name, _, column in spread:
         counts = bag.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.sum(M).alias("__c"))
         best = counts.groupBy(*by).agg(F.min(F.struct((-F.col("__c")).alias("c"), F.col(column).alias("v")))["v"].alias(name))
-        out = out.join(best, by, "left") if by else out.crossJoin(F.broadcast(best))
+        out = out.join(best, by, "left")
     return out.where(F.col("__sum") > 0).select(*by, *aggs)
 
 
@@ -141,17 +144,39 @@ def unkey(df: DataFrame) -> DataFrame:
     return df.drop("_key")
 
 
+def _indexed(df: DataFrame, order: list[Column], index: str) -> DataFrame:
+    """All rows with their places in the order, from 0."""
+    from tidewright.sources import shared_dir
+
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/sorted-{uuid.uuid4().hex}"
+    ids = df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id())
+    ids.write.parquet(path)
+    ids = spark.read.schema(ids.schema).parquet(path)
+    part = F.shiftright("__id", 33)
+    start, begins = 0, []
+    for p, n in sorted(tuple(r) for r in ids.groupBy(part.alias("p")).count().collect()):  # a row for each partition
+        begins.append((p, start))
+        start += n
+    begins = spark.createDataFrame(begins, "__p long, __start long")
+    out = ids.withColumn("__p", part).join(F.broadcast(begins), "__p")
+    return out.withColumn(index, F.col("__start") + F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__p", "__start", "__id").select(*df.columns, index)
+
+
 def top_k(df: DataFrame, order: list[Column], limit: int | None = None, offset: int = 0, by: list[str] | None = None, index: str | None = None) -> DataFrame:
     """Rows offset+1 to offset+limit of each ``by`` in the order, which must end in a key; ``index`` names a column for their places from 0.
 
-    Without ``by`` and ``index`` Spark keeps the top rows of each task only.
+    Without ``by`` and with a limit Spark keeps the top rows of each task only.
+    An index over all rows comes from a table sorted by range, whose parts are
+    counted, so that no task orders everything.
     """
     if not by and not index:
         out = df.orderBy(*order)
         out = out.offset(offset) if offset else out
         return out.limit(limit) if limit is not None else out
+    if not by and limit is None:
+        return _indexed(df, order, index).where(F.col(index) >= offset)
     if not by:
-        top = top_k(df, order, None if limit is None else limit + offset)
+        top = top_k(df, order, limit + offset)
         place = F.row_number().over(Window.orderBy(*order)) - 1
     else:
         top, place = df, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
