@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidewright import functions as f
 from tidewright import sources
 from tidewright.operators import bag
-from tidewright.operators.ordering import keyset_after, sort_columns
+from tidewright.operators.ordering import Pages, keyset_after, sort_columns
 from tidewright.plans.builder import Query
 from tidewright.plans.ir import Ref, Table
 from tidewright.plans.predicates import Subset
@@ -614,3 +614,80 @@ def subset_load(t: Tables) -> DataFrame:
     source.load(Subset(f.gt(price, 120000)))
     source.load(Subset(f.gt(price, 100000)))
     return source.load(Subset(f.and_(f.gt(price, 100000), f.lt(price, 150000))))
+
+
+@query("live_stream_agg", "SELECT event_type, count(*) AS n, max(value) AS high FROM events GROUP BY 1")
+def live_stream_agg(t: Tables) -> DataFrame:
+    """The events table as a stream of inserts into a maintained query, one micro-batch after another until it is read."""
+    build = lambda b: src(e=b["e"]).group_by(lambda r: r.e.event_type).select(lambda r: {"event_type": r.e.event_type, "n": f.count(r.e.event_id), "high": f.max_(r.e.value)})
+    schema = t.df("events").schema
+    path = f"{sources.shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
+    none = t.df("events").select("event_id", "event_type", "value").limit(0)
+    live = LiveQuery(t.spark, f"{path}/live", build, {"e": Table(none, ("event_id",), "e")}, ["event_type"], {"e": {"event_type": "event_type"}})
+    feed = t.spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{t.dir}/events.parquet*")
+    feed = feed.select("event_id", "event_type", "value", F.col("event_id").alias("seq"), F.lit("insert").alias("type"))
+    live.stream("e", feed, f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return live.df()
+
+
+@query("effects_batches", """SELECT k AS batch, event, count(*) AS n FROM (
+  SELECT 1 AS k, CASE WHEN b.user_id IS NULL THEN 'enter' WHEN a.user_id IS NULL THEN 'exit' ELSE 'update' END AS event
+  FROM (SELECT user_id, sum(value) AS v FROM events WHERE event_id % 2 = 0 AND user_id % 3 <> 0 GROUP BY 1) b
+  FULL JOIN (SELECT user_id, sum(value) AS v FROM events WHERE user_id % 3 <> 1 GROUP BY 1) a ON a.user_id = b.user_id
+  WHERE a.v IS DISTINCT FROM b.v) GROUP BY 1, 2""")
+def effects_batches(t: Tables) -> DataFrame:
+    e = t.df("events")
+    states = [e.where(c).groupBy("user_id").agg(F.sum("value").alias("v")) for c in ("event_id % 2 = 0 and user_id % 3 <> 0", "user_id % 3 <> 1")]
+    return cdc.diff(*states, ["user_id"]).groupBy("event").agg(F.count("*").alias("n")).select(F.lit(1).alias("batch"), "event", "n")
+
+
+@query("include_conditional", """SELECT c_custkey, CASE WHEN c_acctbal > 5000 THEN (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) END AS n FROM customer""")
+def include_conditional(t: Tables) -> DataFrame:
+    child = lambda r: src(o=t.orders).where(lambda c: f.eq(c.o.o_custkey, r.c.c_custkey)).select(lambda c: c.o.o_orderkey)
+    q = src(c=t.customer).select(lambda r: {"c_custkey": r.c.c_custkey, "x": f.case_when(f.gt(r.c.c_acctbal, 5000), {"orders": f.to_array(child(r))})})
+    return q.to_df().select("c_custkey", F.when(F.col("x").isNotNull(), F.size("x.orders")).cast("long").alias("n"))
+
+
+@query("include_limit_offset", """SELECT n_nationkey, coalesce(string_agg(c_name, ',' ORDER BY c_name, c_custkey), '') AS names FROM nation LEFT JOIN
+  (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name, c_custkey) AS k FROM customer) ON c_nationkey = n_nationkey AND k BETWEEN 3 AND 5 GROUP BY 1""")
+def include_limit_offset(t: Tables) -> DataFrame:
+    child = lambda r: src(c=t.customer).where(lambda k: f.eq(k.c.c_nationkey, r.n.n_nationkey)).select(lambda k: k.c.c_name).order_by(lambda k: k.c.c_name).offset(2).limit(3)
+    return src(n=t.nation).select(lambda r: {"n_nationkey": r.n.n_nationkey, "names": f.to_array(child(r))}).to_df().select("n_nationkey", F.array_join("names", ",").alias("names"))
+
+
+@query("include_grouped", """SELECT c_nationkey AS k, string_agg(seg || ':' || n, ',' ORDER BY seg) AS segs FROM (SELECT c_nationkey, c_mktsegment AS seg, count(*) AS n FROM customer GROUP BY 1, 2) GROUP BY 1""")
+def include_grouped(t: Tables) -> DataFrame:
+    child = lambda r: (src(c=t.customer).where(lambda k: f.eq(k.c.c_nationkey, r.n.n_nationkey)).group_by(lambda k: k.c.c_mktsegment)
+                       .select(lambda k: {"seg": k.c.c_mktsegment, "n": f.count(k.c.c_custkey)}).order_by(lambda k: k.selected.seg))
+    df = src(n=t.nation).select(lambda r: {"k": r.n.n_nationkey, "s": f.to_array(child(r))}).to_df()
+    return df.select("k", F.array_join(F.transform("s", lambda x: F.concat(x["seg"], F.lit(":"), x["n"].cast("string"))), ",").alias("segs"))
+
+
+@query("union_then_group", "SELECT kind, count(*) AS n, sum(bal) AS total FROM (SELECT 'c' AS kind, c_acctbal AS bal FROM customer UNION ALL SELECT 's', s_acctbal FROM supplier) GROUP BY 1")
+def union_then_group(t: Tables) -> Query:
+    both = Query().union_all(src(c=t.customer).select(lambda r: {"kind": "c", "bal": r.c.c_acctbal}), src(s=t.supplier).select(lambda r: {"kind": "s", "bal": r.s.s_acctbal}))
+    return src(u=both).group_by(lambda r: r.u.kind).select(lambda r: {"kind": r.u.kind, "n": f.count(r.u.kind), "total": f.sum_(r.u.bal)})
+
+
+@query("order_with_index", "SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS place FROM part")
+def order_with_index(t: Tables) -> DataFrame:
+    return bag.top_k(t.df("part").select("p_partkey", "p_retailprice"), [F.desc("p_retailprice"), F.col("p_partkey")], index="place").drop("p_retailprice")
+
+
+@query("page_after", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 20")
+def page_after(t: Tables) -> DataFrame:
+    """The second page, by the first one's cursor and not by counting rows."""
+    pages = Pages(t.df("orders").select("o_orderkey", "o_totalprice"), [("o_totalprice", True, "last"), ("o_orderkey", False, "first")], 20)
+    pages.fetch_next()
+    return t.spark.createDataFrame(pages.fetch_next(), "o_orderkey long, o_totalprice double").drop("o_totalprice")
+
+
+@query("upsert_merge", """SELECT s_suppkey, s_acctbal FROM supplier WHERE s_suppkey % 3 <> 0 UNION ALL SELECT s_suppkey, s_acctbal + 1 FROM supplier WHERE s_suppkey % 3 = 0 AND s_suppkey % 2 = 0
+  UNION ALL SELECT s_suppkey + 1000000, 0 FROM supplier WHERE s_suppkey % 3 = 0""")
+def upsert_merge(t: Tables) -> DataFrame:
+    store = sources.VersionedTable(t.spark, f"{sources.shared_dir(t.spark)}/upsert-{uuid.uuid4().hex}")
+    s = t.df("supplier").select("s_suppkey", "s_acctbal")
+    store.publish(s)
+    third = s.where("s_suppkey % 3 = 0")
+    rows = third.selectExpr("s_suppkey", "s_acctbal + 1 as s_acctbal").unionByName(third.selectExpr("s_suppkey + 1000000 as s_suppkey", "0.0D as s_acctbal"))
+    return sources.upsert(store, rows, ["s_suppkey"], (F.col("s_suppkey") < 1000000) & (F.col("s_suppkey") % 2 == 1))
