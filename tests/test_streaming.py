@@ -53,6 +53,30 @@ def test_maintained_results_equal_a_recompute(spark, tmp_path, seed):
     assert events
 
 
+def test_a_batch_that_failed_halfway_is_taken_up_again(spark, tmp_path):
+    base = Table(spark.createDataFrame([(1, "a", 1), (2, "a", 2)], ROW), ("id",), "t")
+    build = lambda t: Query().from_(t=t["t"]).group_by(lambda r: r.t.g).select(lambda r: {"g": r.t.g, "s": f.sum_(r.t.v)})
+    live = LiveQuery(spark, f"file://{tmp_path}/live", build, {"t": base}, ["g"], {"t": {"g": "g"}})
+    batch = changes(spark, [(1, "b", 5, 1, "update")])
+    compute, live._compute = live._compute, None
+    with pytest.raises(TypeError):
+        live.apply("t", batch, 0)
+    live._compute = compute
+    live.apply("t", batch, 0)
+    assert rows(live.df()) == [("a", 2), ("b", 5)]
+
+
+def test_changes_rewrite_their_buckets_only(spark, tmp_path):
+    store = sources.KeyedStore(spark, f"file://{tmp_path}/s", ["id"], 8)
+    store.publish(spark.range(100).withColumn("v", F.lit(0)))
+    before = store._pointer()["files"]
+    hit = store.touched(spark.createDataFrame([(5,)], "id long"))
+    store.replace(store.read(hit).withColumn("v", F.when(F.col("id") == 5, 1).otherwise(F.col("v"))), hit)
+    after = store._pointer()["files"]
+    assert len(hit) == 1 and [k for k in after if after[k] != before[k]] == [str(hit[0])]
+    assert store.read().count() == 100 and store.read().where("v = 1").count() == 1
+
+
 def test_a_stream_of_changes(spark, tmp_path):
     base = Table(spark.createDataFrame([(1, "a", 1)], ROW), ("id",), "t")
     build = lambda t: Query().from_(t=t["t"]).group_by(lambda r: r.t.g).select(lambda r: {"g": r.t.g, "s": f.sum_(r.t.v)})

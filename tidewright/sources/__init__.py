@@ -8,6 +8,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidewright.functions.columns import Compiler
 from tidewright.plans.ir import Ref, Table, replace
@@ -58,13 +59,12 @@ def write(df: DataFrame, path: str, format: str = "parquet", mode: str = "errori
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 
-class VersionedTable:
-    """A table kept as immutable versions; a small file names the current one, and replacing it publishes a version at once."""
+class _Published:
+    """A folder whose small file CURRENT names what is current; replacing that file publishes all at once."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(self.path))
 
@@ -78,6 +78,21 @@ class VersionedTable:
         finally:
             stream.close()
 
+    def _point(self, now: dict) -> None:
+        draft, at = self._path(f"{self.path}/_next"), self._path(f"{self.path}/CURRENT")
+        out = self._fs.create(draft, True)
+        out.write(bytearray(json.dumps(now).encode()))
+        out.close()
+        self._fs.delete(at, False)
+        self._fs.rename(draft, at)
+
+    def _forget(self, path: str) -> None:
+        self._fs.delete(self._path(path), True)
+
+    def _read(self, now: dict, *paths: str) -> DataFrame:
+        schema = StructType.fromJson(now["schema"])
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
     @property
     def version(self) -> int:
         return self._pointer()["version"]
@@ -87,32 +102,74 @@ class VersionedTable:
         """The last batch that is in the current version."""
         return self._pointer()["batch"]
 
+
+class VersionedTable(_Published):
+    """A table kept as immutable versions, each written whole."""
+
     def read(self) -> DataFrame | None:
         now = self._pointer()
-        if not now["version"]:
-            return None
-        from pyspark.sql.types import StructType
-
-        return self.spark.read.schema(StructType.fromJson(now["schema"])).parquet(f"{self.path}/v{now['version']:08d}")
+        return self._read(now, f"{self.path}/v{now['version']:08d}") if now["version"] else None
 
     def publish(self, df: DataFrame, batch: int | None = None, keep: int = 2) -> DataFrame:
         """Writes a version and makes it current; versions before the last ``keep`` go."""
         now = self._pointer()
         version = now["version"] + 1
         df.write.mode("overwrite").parquet(f"{self.path}/v{version:08d}")
-        text = json.dumps({"version": version, "batch": now["batch"] if batch is None else batch, "schema": df.schema.jsonValue()})
-        draft = self._path(f"{self.path}/_next")
-        out = self._fs.create(draft, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        at = self._path(f"{self.path}/CURRENT")
-        self._fs.delete(at, False)
-        self._fs.rename(draft, at)
+        self._point({"version": version, "batch": now["batch"] if batch is None else batch, "schema": df.schema.jsonValue()})
         if version - keep > 0:
-            self._fs.delete(self._path(f"{self.path}/v{version - keep:08d}"), True)
+            self._forget(f"{self.path}/v{version - keep:08d}")
         return self.read()
 
 
+class KeyedStore(_Published):
+    """A keyed table in hashed buckets, of which a change rewrites only those that hold its keys.
+
+    The number of buckets is fixed when the table is made, and sized so that one is a task's worth of rows; the file that names
+    the current files has one entry a bucket.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: list[str], buckets: int = 16):
+        super().__init__(spark, path)
+        self.key, self.buckets = list(key), self._pointer().get("buckets", buckets)
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
+
+    def touched(self, keys: DataFrame) -> list[int]:
+        """The buckets that hold the keys; a number for each bucket at most."""
+        return sorted(r[0] for r in keys.select(self.bucket()).distinct().collect())
+
+    def read(self, buckets: list[int] | None = None) -> DataFrame | None:
+        now = self._pointer()
+        if not now["version"]:
+            return None
+        files = now["files"]
+        return self._read(now, *[files[k] for k in (files if buckets is None else map(str, buckets)) if k in files])
+
+    def publish(self, df: DataFrame, batch: int | None = None) -> None:
+        """Replaces the whole table."""
+        self.replace(df, list(range(self.buckets)), batch)
+
+    def replace(self, df: DataFrame, buckets: list[int], batch: int | None = None, keep: int = 2) -> None:
+        """Replaces the rows of some buckets by ``df``, which has rows of no others; what they replace goes ``keep`` versions later."""
+        now = self._pointer()
+        version, files, old = now["version"] + 1, dict(now.get("files", {})), now.get("old", [])
+        root = f"{self.path}/v{version:08d}"
+        if buckets:
+            df.withColumn("__bucket", self.bucket()).repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(root)
+            there = {s.getPath().getName(): str(s.getPath()) for s in self._fs.listStatus(self._path(root))}
+            for k in map(str, buckets):
+                if k in files:
+                    old = [*old, [version, files.pop(k)]]
+                if (name := f"__bucket={k}") in there:
+                    files[k] = f"{root}/{name}"
+        for v, path in old:
+            if v <= version - keep:
+                self._forget(path)
+        schema = now["schema"] or df.schema.jsonValue()
+        self._point({"version": version, "batch": now["batch"] if batch is None else batch, "schema": schema, "files": files, "buckets": self.buckets, "old": [x for x in old if x[0] > version - keep]})
+
+
 def upsert(table: VersionedTable, rows: DataFrame, key: list[str], delete: Column | None = None) -> DataFrame:
     """Merges rows by key into a versioned table; rows for which ``delete`` holds take their key away.  A key several times in ``rows`` keeps one of them."""
     rows = rows.dropDuplicates(key)

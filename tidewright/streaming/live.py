@@ -1,9 +1,10 @@
 """Incrementally maintained queries.
 
-A live query holds its tables and its result as versioned tables.  A batch of
-changes is applied to its table; where the query says which of its result's
-keys a table's rows affect, only those keys are computed again, by the same
-planner, and put in the place of the old ones; otherwise the whole query is.
+A live query holds its tables and its result in hashed buckets of their keys.
+A batch of changes rewrites only the buckets that its keys fall in.  Where the
+query says which of its result's keys a table's rows affect, only those keys
+are computed again, by the same planner, and only their buckets of the result
+are rewritten; otherwise the whole query is.
 One version of the result is published for each batch, so readers see all of a
 batch or nothing of it, and a batch that is delivered again changes nothing.
 """
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidewright.plans.builder import Query
 from tidewright.plans.ir import Table
-from tidewright.sources import VersionedTable
+from tidewright.sources import KeyedStore, VersionedTable
 from tidewright.streaming.cdc import apply_changes, diff
 
 
@@ -30,16 +31,16 @@ class LiveQuery:
     expression over that table's rows, for every column of the key.
     """
 
-    def __init__(self, spark: SparkSession, path: str, build: Callable[[dict[str, Table]], Query | DataFrame], tables: dict[str, Table], key: list[str], affects: dict[str, dict[str, str]] | None = None):
+    def __init__(self, spark: SparkSession, path: str, build: Callable[[dict[str, Table]], Query | DataFrame], tables: dict[str, Table], key: list[str], affects: dict[str, dict[str, str]] | None = None, buckets: int = 16):
         self.spark, self.build, self.key, self.affects = spark, build, key, affects or {}
         self.keys = {n: list(t.key) for n, t in tables.items()}
-        self.bases = {n: VersionedTable(spark, f"{path}/base-{n}") for n in tables}
-        self.result = VersionedTable(spark, f"{path}/result")
+        self.bases = {n: KeyedStore(spark, f"{path}/base-{n}", list(t.key), buckets) for n, t in tables.items()}
+        self.result = KeyedStore(spark, f"{path}/result", key, buckets)
         self.listeners: list[Callable[[DataFrame, int], None]] = []
         for n, t in tables.items():
-            if self.bases[n].read() is None:
+            if not self.bases[n].version:
                 self.bases[n].publish(t.df)
-        if self.result.read() is None:
+        if not self.result.version:
             self.result.publish(self._compute({n: b.read() for n, b in self.bases.items()}))
 
     def _compute(self, frames: dict[str, DataFrame]) -> DataFrame:
@@ -57,23 +58,32 @@ class LiveQuery:
         """Applies a batch of changes (the table's columns, seq and type) to a table and publishes the result."""
         if batch is not None and batch <= self.result.batch:
             return
-        base, before = self.bases[name].read(), self.result.read()
-        after_base = self.bases[name].publish(apply_changes(base, changes, self.keys[name], list(seq), mode=mode), batch)
+        base, key = self.bases[name], self.keys[name]
+        touched = changes.select(*key).distinct()
+        hit = base.touched(touched)
+        old = base.read(hit)
+        again = batch is not None and batch <= base.batch  # it failed between base and result, so the old rows are gone
+        if not again:
+            base.replace(apply_changes(old, changes, key, list(seq), mode=mode), hit, batch)
         frames = {n: b.read() for n, b in self.bases.items()}
-        if (made := self.affects.get(name)) is not None:
-            touched = changes.select(*self.keys[name]).distinct()
-            rows = base.join(touched, self.keys[name], "left_semi").unionByName(after_base.join(touched, self.keys[name], "left_semi"))
+        made = None if again else self.affects.get(name)
+        if made is None:
+            before, now = self.result.read(), self._compute(frames)
+            self.result.publish(now, batch)
+            after = self.result.read()
+        else:
+            rows = old.join(touched, key, "left_semi").unionByName(base.read(hit).join(touched, key, "left_semi"))
             keys = rows.select(*[F.expr(made[k]).alias(f"__{k}") for k in self.key]).distinct()
             same: Callable[[dict[str, str]], Column] = lambda named: reduce(Column.__and__, [F.expr(named[k]).eqNullSafe(F.col(f"__{k}")) for k in self.key])
-            frames[name] = after_base.join(keys, same(made), "left_semi")
-            new = self._compute(frames)
-            kept = before.join(keys, same({k: f"`{k}`" for k in self.key}), "left_anti")
-            now = kept.unionByName(new.join(keys, same({k: f"`{k}`" for k in self.key}), "left_semi").select(*before.columns))
-        else:
-            now = self._compute(frames)
-        now = self.result.publish(now, batch)
+            own = {k: f"`{k}`" for k in self.key}
+            shown = self.result.touched(keys.toDF(*self.key))
+            before = self.result.read(shown)
+            frames[name] = frames[name].join(keys, same(made), "left_semi")
+            new = self._compute(frames).join(keys, same(own), "left_semi")
+            self.result.replace(before.join(keys, same(own), "left_anti").unionByName(new.select(*before.columns)), shown, batch)
+            after = self.result.read(shown)
         for f in self.listeners:
-            f(diff(before, now, self.key), batch)
+            f(diff(before, after, self.key), batch)
 
     def stream(self, name: str, changes: DataFrame, checkpoint: str, mode: str = "full", seq: tuple[str, ...] = ("seq",)):
         """Runs a streaming frame of changes through apply(); start() the returned writer."""
