@@ -4,7 +4,7 @@ import math
 import pytest
 
 from tidewright import functions as f
-from tidewright.errors import FunctionError, ReferenceError_, WhereError
+from tidewright.errors import FunctionError, UnknownNameError, WhereError
 from tidewright.plans.builder import Query
 from tidewright.plans.ir import Table
 
@@ -82,9 +82,9 @@ def test_wrong_operands(rows, make):
 
 
 def test_unknown_names(rows):
-    with pytest.raises(ReferenceError_):
+    with pytest.raises(UnknownNameError):
         got(rows, lambda r: r.nothing)
-    with pytest.raises(ReferenceError_):
+    with pytest.raises(UnknownNameError):
         Query().from_(r=rows).where(lambda q: f.eq(q.other.id, 1))
     with pytest.raises(WhereError):
         Query().from_(r=rows).where(lambda q: True)

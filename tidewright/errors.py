@@ -33,7 +33,7 @@ class FunctionError(QueryError):
     """An unknown function, wrong arguments, or operands of kinds that don't compare."""
 
 
-class ReferenceError_(QueryError):
+class UnknownNameError(QueryError):
     """A reference to an alias or field that the sources don't have."""
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewright.errors import FunctionError, ReferenceError_
+from tidewright.errors import FunctionError, UnknownNameError
 from tidewright.plans.ir import SELECTED, Agg, Case, Expr, Func, Ref, Value
 
 #: The field that tells a row that is there from an alias without one.
@@ -74,14 +74,14 @@ class Compiler:
     def ref(self, e: Ref) -> Column:
         if e.alias == SELECTED:
             if not e.path or e.path[0] not in self.frame.columns:
-                raise ReferenceError_(f"the select has no {'.'.join(e.path)!r}")
+                raise UnknownNameError(f"the select has no {'.'.join(e.path)!r}")
             return quoted(*e.path)
         if e.alias not in self.aliases:
-            raise ReferenceError_(f"no source is called {e.alias!r}")
+            raise UnknownNameError(f"no source is called {e.alias!r}")
         kind = self.frame.schema[e.alias].dataType
         for k, name in enumerate(e.path):
             if not isinstance(kind, T.StructType) or name not in kind.fieldNames():
-                raise ReferenceError_(f"{'.'.join((e.alias, *e.path[: k + 1]))} doesn't exist")
+                raise UnknownNameError(f"{'.'.join((e.alias, *e.path[: k + 1]))} doesn't exist")
             kind = kind[name].dataType
         if not e.path:
             return self.row(e.alias)

@@ -97,9 +97,9 @@ class Rows:
         if name.startswith("__"):
             raise AttributeError(name)
         if name not in self.aliases and name != SELECTED:
-            from tidewright.errors import ReferenceError_
+            from tidewright.errors import UnknownNameError
 
-            raise ReferenceError_(f"no source is called {name!r}; there are {', '.join(self.aliases)}")
+            raise UnknownNameError(f"no source is called {name!r}; there are {', '.join(self.aliases)}")
         return Ref(name)
 
     def __getitem__(self, name: str) -> Ref:
