@@ -14,15 +14,18 @@ all documents; documents are scanned as they are stored and never shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm import _text as X
-from tidewright.llm._spark import Scratch, fresh, map_batches
+from tidewright.llm._spark import Scratch, map_batches
 
 #: Masks over runs of words: 1 keeps a position.  Fixed spaced seeds of weight 6 (and of weight 4 for short items).
 SEEDS = ("110100110101", "111010010011", "10101001101", "1101100101", "1100111001", "110001111", "1111011", "111111")
@@ -165,35 +168,56 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     texts is as many items.  Rows with a null id on either side have their
     leaks with a null.  Other columns are not read.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    parts = []
+    for shared in _planted(benchmark, item_col, item_text_col):
+
+        def run(batch: pa.RecordBatch, shared=shared) -> pa.Table:
+            names, seeds = shared.value
+            ids = batch.column(0).to_pylist()
+            rows = [(ids[text], names[item], *rest) for text, item, *rest in _found(seeds, batch.column(1))]
+            return pa.table([pa.array([r[k] for r in rows], pa.int64()) for k in range(6)], names=[x.split()[0] for x in SCHEMA.split(", ")])
+
+        parts.append(map_batches(source, run, SCHEMA))
+    if len(parts) == 1:
+        return parts[0]
+    return reduce(DataFrame.union, [scratch.write(p, "leaks") for p in parts])
+
+
+def _planted(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator[Broadcast]:
+    """The benchmark's ids and seeds, broadcast in blocks of about BLOCK_WORDS words."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null").distinct()
     total = items.agg(F.sum(F.regexp_count("text", F.lit(r"\S+")))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_WORDS))
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = None
     for block in range(blocks):
         part = sorted((tuple(r) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()), key=lambda r: (r[0] is None, r))
         names = [r[0] for r in part]
-        shared = spark.sparkContext.broadcast((names, plant([n or 0 for n in names], [r[1] for r in part])))
+        yield spark.sparkContext.broadcast((names, plant([n or 0 for n in names], [r[1] for r in part])))
 
-        def run(batch: pa.RecordBatch, shared=shared) -> pa.Table:
-            names, seeds = shared.value
-            data, offsets = X.utf8(batch.column(1))
-            ids, rows = batch.column(0).to_pylist(), []
-            for a, b in X.blocks(offsets):
-                found = overlaps(seeds, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                rows += [(ids[a + text], names[item], *rest) for text, item, *rest in found]
-            return pa.table([pa.array([r[k] for r in rows], pa.int64()) for k in range(6)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-        found = map_batches(source, run, SCHEMA)
-        found = scratch.write(found, "leaks") if blocks > 1 else found
-        out = found if out is None else out.union(found)
-    return out
+def _found(seeds: Seeds, column: pa.Array) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """The leaks of a column's texts, with the text's place in it."""
+    data, offsets = X.utf8(column)
+    for a, b in X.blocks(offsets):
+        for text, *rest in overlaps(seeds, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
+            yield a + text, *rest
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has no leak; all columns stay as they are.
+
+    Rows pass through the scan whole, so that no join shuffles them.
+    """
+    names, schema = docs.columns, docs.schema
+    for shared in _planted(benchmark, item_col, item_text_col):
 
+        def run(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
+            clean = np.ones(batch.num_rows, bool)
+            for text, *_ in _found(shared.value[1], batch.column(names.index(text_col)).cast(pa.string())):
+                clean[text] = False
+            return batch.filter(pa.array(clean))
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id has no leak; all columns stay as they are, and rows with a null id stay."""
-    mark = fresh(docs, "bad")
-    bad = leaks(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias(mark)).where(F.col(mark).isNotNull()).distinct()
-    return docs.join(bad, F.col(id_col).cast("long") == F.col(mark), "left_anti")
+        docs = map_batches(docs, run, schema)
+    return docs

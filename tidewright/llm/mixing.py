@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm._spark import Scratch, fresh
+from tidewright.llm._spark import Scratch
 
 #: The domains, as (quality, toxic), and the columns of their posteriors.
 DOMAINS = ((0, 0), (0, 1), (1, 0), (1, 1))
@@ -30,11 +30,11 @@ STEPS, WRITTEN_EVERY = 40, 10
 TEMPERATURE = 0.7
 
 
-def statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_tokens, features) of each row; a token is a run of characters that are not ASCII white space."""
+def statistics(docs: DataFrame, id_col: str, text_col: str, carried: tuple[Column, ...] = ()) -> DataFrame:
+    """(doc_id, n_tokens, features) of each row, and the carried columns under their names; a token is a run of characters that are not ASCII white space."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"), words.alias("w"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"), words.alias("w"), *carried)
     n, size = F.size("w").cast("double"), F.length("t").cast("double")
     upper = size - F.length(F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
     marks = size - F.length(F.translate("t", "!#$%&*|", ""))
@@ -45,6 +45,7 @@ def statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.log((marks + 0.2) / (size + 60)).alias("f_marks"),
         F.log((F.size(F.array_distinct("w")) + 20) / (n + 20)).alias("f_distinct"),
         F.log((size + 120) / (n + 20)).alias("f_length"),
+        *rows.columns[3:],
     )
 
 
@@ -52,16 +53,24 @@ def _domain() -> Column:
     return reduce(lambda e, k: e.when((F.col("quality") == DOMAINS[k][0]) & (F.col("toxic") == DOMAINS[k][1]), k), range(len(DOMAINS)), F.when(F.lit(False), 0))
 
 
-def classify(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``rows`` with the columns POSTERIORS, which sum to one.
+def learn(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> dict[int, dict]:
+    """Counts, means and variances of the statistics by domain.
 
     Rows of labels with a null id, or null or other values than 0 and 1, teach
-    nothing.  A domain that no labelled row has gets 0; without labelled rows
-    all domains get the same.
+    nothing.
     """
     taught = labels.select(F.col(id_col).cast("long").alias("doc_id"), _domain().alias("domain")).where("domain is not null").dropDuplicates()
     moments = [f(x).alias(f"{f.__name__}_{x}") for x in FEATURES for f in (F.avg, F.var_pop)]
-    found = {r["domain"]: r for r in rows.join(taught, "doc_id").groupBy("domain").agg(F.count("*").alias("n"), *moments).collect()}  # four rows at most
+    # Four rows at most.
+    return {r["domain"]: r.asDict() for r in rows.join(taught, "doc_id").groupBy("domain").agg(F.count("*").alias("n"), *moments).collect()}
+
+
+def posteriors(rows: DataFrame, found: dict[int, dict]) -> DataFrame:
+    """``rows`` with the columns POSTERIORS, which sum to one.
+
+    A domain that no labelled row has gets 0; without labelled rows all domains
+    get the same.
+    """
     if not found:
         return rows.select("*", *[F.lit(1 / len(DOMAINS)).alias(p) for p in POSTERIORS])
     logs = []
@@ -126,9 +135,21 @@ def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Null and repeated ids are rows like others.  An empty table gives an empty
     result.  Other columns are not read.
     """
+    rows, rates, _ = _fitted(docs, labels, id_col, text_col, shares, tokens, floor)
+    return rows.join(F.broadcast(rates), POSTERIORS).select("doc_id", "n_tokens", *POSTERIORS, "rate", _copies().alias("copies"))
+
+
+def _copies() -> Column:
+    part = F.pmod(F.xxhash64(F.lit(5), "doc_id", "n_tokens"), F.lit(1 << 30)) / float(1 << 30)
+    return F.floor("rate") + (part < F.col("rate") - F.floor("rate")).cast("long")
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, shares: dict[str, float] | None, tokens: float | None, floor: float) -> tuple[DataFrame, DataFrame, dict[int, dict]]:
+    """Every row's posteriors, the rates of the distinct ones, and what the classifier learned."""
     scratch = Scratch(docs.sparkSession)
     rows = scratch.write(statistics(docs, id_col, text_col), "statistics")
-    rows = scratch.write(classify(rows, labels, id_col).select("doc_id", "n_tokens", *POSTERIORS), "posteriors")
+    found = learn(rows, labels, id_col)
+    rows = scratch.write(posteriors(rows, found).select("doc_id", "n_tokens", *POSTERIORS), "posteriors")
     # At most one row for each point of the grid of hundredths.
     cells = scratch.write(rows.groupBy(*POSTERIORS).agg(F.sum("n_tokens").cast("double").alias("tokens")), "cells")
     natural = [x or 0.0 for x in cells.agg(*[F.sum(F.col("tokens") * F.col(p)) for p in POSTERIORS]).first()]
@@ -138,15 +159,17 @@ def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     total = sum(natural) if tokens is None else float(tokens)
     if floor > 0:
         total = max([total, *(floor * n / w for n, w in zip(natural, want, strict=True) if w > 0)])
-    rates = fit_rates(scratch, cells, [w * total for w in want], floor).select(*POSTERIORS, "rate")
-    out = rows.join(F.broadcast(rates), POSTERIORS)
-    part = F.pmod(F.xxhash64(F.lit(5), "doc_id", "n_tokens"), F.lit(1 << 30)) / float(1 << 30)
-    return out.select("doc_id", "n_tokens", *POSTERIORS, "rate", (F.floor("rate") + (part < F.col("rate") - F.floor("rate")).cast("long")).alias("copies"))
+    rates = scratch.write(fit_rates(scratch, cells, [w * total for w in want], floor).select(*POSTERIORS, "rate"), "fitted")
+    return rows, rates, found
+
 
+def apply_mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", shares: dict[str, float] | None = None, tokens: float | None = None, floor: float = 0.0) -> DataFrame:
+    """The rows of ``docs``, each as often as the copies that mix() gives it.
 
-def apply_mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, each as often as its copies say; rows with a null or repeated id as often as one of theirs says."""
-    mark, times, copy = (fresh(docs, x) for x in ("mark", "times", "copy"))
-    copies = mix(docs, labels, id_col, text_col, **options).groupBy("doc_id").agg(F.max("copies").alias(times)).withColumnRenamed("doc_id", mark)
-    joined = docs.join(copies.where(F.col(times) > 0), F.col(id_col).cast("long").eqNullSafe(F.col(mark)))
-    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*docs.columns)
+    A row's rate is found from its own statistics, so that texts aren't shuffled.
+    """
+    _, rates, found = _fitted(docs, labels, id_col, text_col, shares, tokens, floor)
+    rows = posteriors(statistics(docs, id_col, text_col, (F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),)), found)
+    rows = rows.join(F.broadcast(rates), POSTERIORS, "left").withColumn("rate", F.coalesce("rate", F.lit(max(1.0, floor))))
+    copies = rows.select("row", _copies().alias("copies")).where("copies > 0")
+    return copies.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
