@@ -46,6 +46,16 @@ def test_recall(spark, monkeypatch, spread):
     assert got.keys() == want.keys() and hits >= 0.9
 
 
+def test_probes_hold_recall_without_clusters(spark, monkeypatch):
+    monkeypatch.setattr(N, "CELL_ROWS", 20)
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=16).tolist(), None) for i in range(3000)]
+    rows += [(7, rows[7][1], None)] * 50
+    got, want = gathered(N.nearest(spark.createDataFrame(rows, SCHEMA), every=50)), brute(rows, 50)
+    hits = np.mean([len({c for _, c in got[q]} & {c for _, c in want[q]}) / 10 for q in want])
+    assert got.keys() == want.keys() and hits >= 0.97
+
+
 def test_vectors_that_take_no_part(spark):
     rows = [(0, [1.0, 0.0], None), (1, [0.0, 0.0], None), (2, None, None), (3, [1.0, None], None), (4, [float("nan"), 1.0], None), (5, [float("inf"), 1.0], None), (6, [1.0, 2.0, 3.0], None), (7, [0.0, 2.0], None), (None, [1.0, 1.0], None), (7, [0.0, 1.0], None), (100, [1.0, 0.5], None)]
     got = gathered(N.nearest(spark.createDataFrame(rows, SCHEMA)))

@@ -10,7 +10,9 @@ nearest cells are measured exactly on the original vectors.
 
 The centres and codebooks are learned from a bounded sample; every vector is
 indexed.  Cells are cut into chunks of bounded size, so that a cell with a very
-common vector is spread over tasks.
+common vector is spread over tasks.  How many cells a query visits is measured
+on the table: the true neighbours of some queries are found by brute force, and
+the fewest cells are taken that hold RECALL of them.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 
 from tidewright.llm._spark import Scratch, map_batches
 
-#: Vectors to learn from at most, rows a cell is meant to have, cells at most, cells a query visits, candidates measured exactly in each chunk.
+#: Vectors to learn from at most, rows a cell is meant to have, cells at most, cells a query visits at least, candidates measured exactly in each chunk.
 SAMPLE, CELL_ROWS, CELLS, PROBES, RERANKED = 20_000, 512, 1024, 24, 120
+#: The share of true neighbours that the visited cells are to hold, and the queries at most that it is measured on.
+RECALL, MEASURED = 0.99, 256
 #: Bytes of the sample at most, for long vectors.
 SAMPLE_BYTES = 24_000_000
 #: The inner product, as a share of the largest, above which errors matter; it sets the weight of parallel error.
@@ -144,13 +148,47 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return np.concatenate([p.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) for p in parts]) if parts else np.empty((0, dim))
 
 
-def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = 10, probes: int = PROBES, sample: int = SAMPLE) -> DataFrame:
+def _probes_for(coded: DataFrame, index: Index, every: int, k: int) -> int:
+    """The fewest cells a query must visit to hold RECALL of the true neighbours, measured by brute force on MEASURED of the queries at most."""
+    asking = coded.where(F.col("vec_id") % every == 0).select("vec_id", "v").dropDuplicates(["vec_id"]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(MEASURED).toArrow()
+    if not asking.num_rows:
+        return PROBES
+    names, queries = asking["vec_id"].to_numpy(), _matrix(asking["v"], index.dim)
+    shared = coded.sparkSession.sparkContext.broadcast((names, queries))
+
+    def closest(batch: pa.RecordBatch) -> pa.Table:
+        names, queries = shared.value
+        ids, x, cells = batch.column(0).to_numpy(), _matrix(batch.column(1), queries.shape[1]), batch.column(2).to_numpy()
+        out: list[tuple[np.ndarray, ...]] = []
+        for name, q, row in zip(names, queries, _distances(queries, x), strict=True):
+            row[ids == name] = np.inf
+            order = np.lexsort((ids, row))
+            order = order[np.isfinite(row[order])]
+            m = k
+            while m < len(order) and len(np.unique(ids[order[:m]])) < k:
+                m *= 4
+            best = order[:m]
+            out.append((np.full(len(best), name), ids[best], cells[best], row[best] + q @ q))
+        return pa.table([pa.array(np.concatenate([o[j] for o in out])) for j in range(4)], names=["query_id", "vec_id", "cell", "score"])
+
+    found = map_batches(coded.select("vec_id", "v", "cell"), closest, "query_id long, vec_id long, cell int, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.min_by("cell", "score").alias("cell"), F.min("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    found = found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "cell").toArrow()
+    place = np.argsort(np.argsort(_distances(queries, index.centres), axis=1, kind="stable"), axis=1)
+    row = {name: j for j, name in enumerate(names.tolist())}
+    needed = np.sort([place[row[q], c] + 1 for q, c in zip(found["query_id"].to_pylist(), found["cell"].to_pylist(), strict=True)])
+    return int(needed[int(np.ceil(RECALL * len(needed))) - 1]) if len(needed) else PROBES
+
+
+def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = 10, probes: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """The ``k`` nearest found of each query: query_id, rank (from 1), vec_id, score (Euclidean distance in double precision).
 
     Queries are the rows whose id is divisible by ``every``; candidates are all
     rows with other ids.  Ties go to the smaller id.  A query visits ``probes``
     cells, and more while those hold fewer than ``k`` others; with as few cells
-    as probes the scan covers all rows.  Vectors that are null, zero, or have
+    as probes the scan covers all rows.  By default probes are as many as
+    _probes_for() measures on the table, PROBES at least.  Vectors that are null, zero, or have
     null or non-finite components take no part, nor do those whose length isn't
     the commonest one (the longer of equally common ones), nor rows with a null
     id.  Repeated rows of an id are one candidate, at its least distance.
@@ -191,6 +229,8 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     counts = np.zeros(len(index.centres), np.int64)
     for cell, count in coded.groupBy("cell").count().collect():
         counts[cell] = count
+    if probes is None:
+        probes = PROBES if len(counts) <= PROBES else max(PROBES, _probes_for(coded, index, every, k))
     chunk_rows = int(min(max(4 * n // max(1, len(counts)), 1024), 1 << 16))
     chunks = np.maximum(1, -(-counts // chunk_rows))
     asked = n / every * probes / len(counts)
