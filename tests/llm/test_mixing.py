@@ -45,6 +45,44 @@ def test_rates_equal_brute_force(tables, floor, shares):
     assert abs(got - want * total).sum() <= before + 1e-6
 
 
+def nnls(a, b):
+    """The least half square of a x - b over x >= 0, by active sets (Lawson and Hanson)."""
+    x, free = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
+    while (w := np.where(free, -np.inf, a.T @ (b - a @ x))).max() > 1e-9 * abs(b).max():
+        free[w.argmax()] = True
+        while True:
+            s = np.zeros(len(x))
+            s[free] = np.linalg.lstsq(a[:, free], b, rcond=None)[0]
+            bad = free & (s <= 0)
+            if not bad.any():
+                break
+            x += (x[bad] / (x[bad] - s[bad])).min() * (s - x)
+            free &= x > 1e-12
+            x[~free] = 0
+        x = s
+    return ((a @ x - b) ** 2).sum() / 2
+
+
+@pytest.mark.parametrize("floor", [0.0, 1.0])
+def test_hard_targets_reach_the_least_squares(spark, floor):
+    rng = np.random.default_rng(5)
+    # Domains that the classifier tells apart badly.
+    p = np.unique(np.round(rng.dirichlet([6, 0.7, 14, 1], 150) @ np.eye(4), 2), axis=0)
+    p[:, 2] = np.round(1 - p[:, [0, 1, 3]].sum(1), 2)
+    tokens = rng.integers(1, 900, len(p)).astype(float)
+    natural = (tokens[:, None] * p).sum(0)
+    targets = natural * np.array([1.0, 6.0, 1.0, 5.0])
+    cells = spark.createDataFrame([(*map(float, row), float(n)) for row, n in zip(p, tokens, strict=True)], [*M.POSTERIORS, "tokens"])
+    out = M.fit_rates(cells, targets.tolist(), floor).toPandas()
+    a = (p * tokens[:, None]).T / np.sqrt(natural)[:, None]
+    want = nnls(a, targets / np.sqrt(natural) - floor * a.sum(1))
+    got = ((((out["tokens"] * out["rate"]).to_numpy()[:, None] * out[M.POSTERIORS].to_numpy()).sum(0) - targets) ** 2 / natural).sum() / 2
+    assert want > 1 and got == pytest.approx(want, rel=1e-6)
+    assert out["rate"].min() >= floor
+    with pytest.raises(ArithmeticError):
+        M.fit_rates(cells, targets.tolist(), floor, steps=3)
+
+
 def test_the_classifier_tells_domains_apart(tables):
     docs, labels = tables
     out = {r["doc_id"]: r for r in M.mix(docs, labels).collect() if r["doc_id"] is not None}

@@ -3,18 +3,21 @@
 The labelled table teaches a Gaussian classifier over a few statistics of each
 text; every document gets posteriors of the domains quality x toxicity, kept to
 hundredths.  Document rates r >= floor are then fitted so that the expected
-domain totals sum(r * tokens * posterior) match the targets: projected gradient
-steps on half the sum of (total - target)^2 / natural total, in the metric that
-weighs documents by tokens, where a step of one is safe whatever the
-classifier.  Rates depend on the posteriors alone, so the state is the table of
-distinct posteriors with their tokens; its size is bounded by the grid of
-hundredths, not by the corpus, and every step is one distributed aggregation.
+domain totals sum(r * tokens * posterior) match the targets: half the sum of
+(total - target)^2 / natural total is least.  Of the rates that reach the least,
+those nearest to one in the metric that weighs documents by tokens are
+max(floor, 1 - posteriors * multipliers), so Newton steps on four multipliers
+find them, with a penalty on the distance that falls through EASES.  Rates depend on
+the posteriors alone, so the steps read the table of distinct posteriors with
+their tokens; its size is bounded by the grid of hundredths, not by the corpus,
+and every step is one distributed aggregation.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +27,10 @@ from tidewright.llm._spark import Scratch
 DOMAINS = ((0, 0), (0, 1), (1, 0), (1, 1))
 POSTERIORS = [f"p_q{q}_t{t}" for q, t in DOMAINS]
 FEATURES = ["f_upper", "f_marks", "f_distinct", "f_length"]
-#: Steps of the fit, and how often the state is written so that expressions stay short.
-STEPS, WRITTEN_EVERY = 40, 10
+#: Aggregations of a fit at most; one that needs more is an error.
+STEPS = 400
+#: The weights of the rates' distance from one in turn, and the projected gradient left at most, as a share of the largest rate.
+EASES, TOLERANCE = (1e-2, 1e-4, 1e-6, 1e-8), 1e-7
 #: The default targets: natural shares to this power, made to sum to one.
 TEMPERATURE = 0.7
 
@@ -98,24 +103,61 @@ def posteriors(rows: DataFrame, found: dict[int, dict]) -> DataFrame:
     return rows.select(*[c for c in rows.columns if not c.startswith(("_l", "_e", "_h"))], *out)
 
 
-def fit_rates(scratch: Scratch, cells: DataFrame, targets: list[float], floor: float, steps: int = STEPS) -> DataFrame:
-    """``cells`` (POSTERIORS and tokens) with rate: projected gradient descent from a rate of one, or the floor if that is higher."""
-    sums = [F.coalesce(F.sum(F.col("tokens") * F.col(p)), F.lit(0.0)).alias(p) for p in POSTERIORS]
-    natural = list(cells.agg(*sums).first())
-    cells = cells.withColumn("rate", F.lit(max(1.0, floor)))
-    written = None
-    for step in range(steps):
-        expected = cells.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col(p) * F.col("rate")), F.lit(0.0)) for p in POSTERIORS]).first()
-        slope = [(e - t) / n if n > 0 else 0.0 for e, t, n in zip(expected, targets, natural, strict=True)]
-        if max(map(abs, slope)) < 1e-7:
-            break
-        descent = reduce(Column.__add__, [F.col(p) * s for p, s in zip(POSTERIORS, slope, strict=True)])
-        cells = cells.withColumn("rate", F.greatest(F.lit(float(floor)), F.col("rate") - descent))
-        if (step + 1) % WRITTEN_EVERY == 0:
-            last, cells = written, scratch.write(cells, "rates")
-            written = cells
-            if last is not None:
-                scratch.drop(last)
+def fit_rates(cells: DataFrame, targets: list[float], floor: float, steps: int = STEPS) -> DataFrame:
+    """``cells`` (POSTERIORS and tokens) with rate: the least-squares rates nearest to one, or to the floor if that is higher.
+
+    An ArithmeticError tells of a fit whose projected gradient is above
+    TOLERANCE after ``steps`` aggregations.
+    """
+    low, start, k = float(floor), max(1.0, float(floor)), len(POSTERIORS)
+    upper = [(i, j) for i in range(k) for j in range(i, k)]
+    want, left = np.array(targets, float), steps
+
+    def free(multipliers: np.ndarray) -> Column:
+        return F.lit(start) - reduce(Column.__add__, [F.col(p) * float(m) for p, m in zip(POSTERIORS, multipliers, strict=True)])
+
+    def totals(multipliers: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
+        """The domains' totals, their slopes by the multipliers, the integral of the rates, and the largest rate."""
+        nonlocal left
+        if (left := left - 1) < 0:
+            raise ArithmeticError(f"rates of the mix haven't converged in {steps} steps")
+        rows = cells.withColumn("z", free(multipliers)).withColumn("m", F.col("tokens") * F.greatest(F.lit(low), "z")).withColumn("a", F.when(F.col("z") >= low, F.col("tokens")).otherwise(0.0))
+        integral = F.when(F.col("z") > low, F.col("z") * F.col("z") / 2).otherwise(F.col("z") * low - low * low / 2) * F.col("tokens")
+        sums = [*(F.col("m") * F.col(p) for p in POSTERIORS), *(F.col("a") * F.col(POSTERIORS[i]) * F.col(POSTERIORS[j]) for i, j in upper), integral]
+        out = np.array(list(rows.agg(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in sums], F.coalesce(F.max(F.greatest(F.lit(low), "z")), F.lit(low))).first()), float)
+        slopes = np.zeros((k, k))
+        for (i, j), x in zip(upper, out[k:-2], strict=True):
+            slopes[i, j] = slopes[j, i] = x
+        return out[:k], slopes, out[-2], out[-1]
+
+    natural = np.array(list(cells.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col(p)), F.lit(0.0)) for p in POSTERIORS]).first()), float)
+    scale = np.where(natural > 0, natural, 1.0)
+    at = np.zeros(k)
+    now = totals(at)
+    for ease in EASES if (abs(now[0] - want) / scale).max() > TOLERANCE else ():
+        while True:
+            slope = want - now[0] + ease * scale * at
+            if (abs(slope) / scale).max() < TOLERANCE / 10 * max(1.0, now[3]):
+                break
+            curve = now[1] + ease * np.diag(scale)
+            size = np.sqrt(np.diag(curve))
+            step = -np.linalg.solve(curve / np.outer(size, size), slope / size) / size
+            value = now[2] + want @ at + ease / 2 * (scale * at * at).sum()
+            for _ in range(25):
+                new = totals(at + step)
+                if new[2] + want @ (at + step) + ease / 2 * (scale * (at + step) ** 2).sum() <= value + 1e-4 * slope @ step + 1e-12 * abs(value):
+                    break
+                step = step / 2
+            else:
+                break  # as near as doubles go; the projected gradient decides
+            at, now = at + step, new
+    slope = np.where(natural > 0, (now[0] - want) / scale, 0.0)
+    cells = cells.withColumn("rate", F.greatest(F.lit(low), free(at)))
+    descent = reduce(Column.__add__, [F.col(p) * float(x) for p, x in zip(POSTERIORS, slope, strict=True)])
+    move = F.abs(F.col("rate") - F.greatest(F.lit(low), F.col("rate") - descent))
+    far, most = cells.agg(F.max(move), F.max("rate")).first()
+    if far is not None and far > TOLERANCE * max(1.0, most):
+        raise ArithmeticError(f"rates of the mix have a projected gradient of {far:.3g}")
     return cells
 
 
@@ -159,7 +201,7 @@ def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, shar
     total = sum(natural) if tokens is None else float(tokens)
     if floor > 0:
         total = max([total, *(floor * n / w for n, w in zip(natural, want, strict=True) if w > 0)])
-    rates = scratch.write(fit_rates(scratch, cells, [w * total for w in want], floor).select(*POSTERIORS, "rate"), "fitted")
+    rates = scratch.write(fit_rates(cells, [w * total for w in want], floor).select(*POSTERIORS, "rate"), "fitted")
     return rows, rates, found
 
 
