@@ -83,3 +83,28 @@ def test_best_stretch(equal, want):
     import numpy as np
 
     assert D._best_stretch(np.array(equal, bool)) == want
+
+
+def test_any_stretch_that_meets_the_rule_leaks(words):
+    import numpy as np
+    import pyarrow as pa
+
+    from tidewright.llm import _text as X
+
+    def leaks_somewhere(equal, need):
+        return any(sum(equal[p:q]) >= need and 10 * sum(equal[p:q]) >= 7 * (q - p) for p in range(len(equal)) for q in range(p + 1, len(equal) + 1))
+
+    rng = random.Random(6)
+    want, got = [], []
+    for _ in range(300):
+        n, k = rng.choice([(15, 3), (18, 4), (20, 4), (20, 5), (30, 9), (30, 12), (15, 2)])
+        item = [rng.choice(words) for _ in range(n)]
+        equal = [True] * n
+        for j in rng.sample(range(n), k):
+            equal[j] = False
+        text = " ".join(w if e else "swapped" for w, e in zip(item, equal, strict=True))
+        want.append(leaks_somewhere(equal, min(13, 0.8 * n)))
+        start, end = D._longest_leak(np.array(equal))
+        assert (sum(equal[start:end]) >= min(13, 0.8 * n)) == want[-1] and 10 * sum(equal[start:end]) >= 7 * (end - start)
+        got.append(bool(D.overlaps(D.plant([1], [" ".join(item)]), *X.utf8(pa.array([text])))))
+    assert sum(want) > 200 and got == want

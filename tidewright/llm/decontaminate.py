@@ -5,7 +5,8 @@ keeps and ignores the others, so a run with words replaced at ignored positions
 still hits.  The hashes of the benchmark's runs are joined to those of the
 documents' runs; around each hit the benchmark item is laid along the document
 and the best stretch is scored, equal words for it and replaced words against
-it.  Words are runs of letters and digits, whatever their case, so punctuation
+it; where that is no leak, the stretch with the most equal words that has the
+share of equal ones decides.  Words are runs of letters and digits, whatever their case, so punctuation
 and layout don't hide a passage.
 
 The benchmark's hashes are broadcast in blocks of bounded size, each joined to
@@ -120,6 +121,17 @@ def _best_stretch(equal: np.ndarray) -> tuple[int, int]:
     return start, end
 
 
+def _longest_leak(equal: np.ndarray) -> tuple[int, int]:
+    """The stretch with the most equal words of those that LEAK_EQUAL of are equal, the first of several; it begins and ends with equal ones."""
+    count = np.concatenate([[0], np.cumsum(equal)])
+    # A stretch from p to q has the share if the surplus at q is not below that at p; the first such p has the most equal words.
+    surplus = 100 * count - round(100 * LEAK_EQUAL) * np.arange(len(count))
+    first = np.searchsorted(-np.minimum.accumulate(surplus), -surplus, "left")
+    end = int(np.argmax(count - count[first]))
+    start, inside = int(first[end]), np.flatnonzero(equal[first[end] : end])
+    return (start + int(inside[0]), start + int(inside[-1]) + 1) if len(inside) else (0, 0)
+
+
 def overlaps(seeds: Seeds, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
     """(text, item, first word, words, equal words, item's words) of each leak of a block of texts: the best of an item in a text."""
     words, first = word_hashes(data, offsets)
@@ -142,9 +154,12 @@ def overlaps(seeds: Seeds, data: np.ndarray, offsets: np.ndarray) -> list[tuple[
         own = seeds.words[seeds.first[item] : seeds.first[item + 1]]
         a, b = max(shift, int(first[text])), min(shift + len(own), int(first[text + 1]))
         equal = words[a:b] == own[a - shift : b - shift]
-        start, end = _best_stretch(equal)
-        count = int(equal[start:end].sum())
-        enough = count >= min(LEAK_WORDS, LEAK_ITEM * len(own)) and count >= LEAK_EQUAL * (end - start)
+        for find in (_best_stretch, _longest_leak):
+            start, end = find(equal)
+            count = int(equal[start:end].sum())
+            enough = count >= min(LEAK_WORDS, LEAK_ITEM * len(own)) and count >= LEAK_EQUAL * (end - start)
+            if enough:
+                break
         if len(own) < LEAST:
             enough = count == len(own)
         stretch = (count, -(a - int(first[text]) + start), end - start)
