@@ -38,7 +38,7 @@ def test_round_trip(spark, tmp_path, rows, least, compression):
     df = spark.createDataFrame(rows, SCHEMA)
     out = W.archive_and_resolve(df, f"file://{tmp_path}/w", least_bytes=least, compression=compression)
     assert sorted(map(tuple, out.collect()), key=str) == expected(rows, least)
-    texts = sorted(x["payload"] for x in W.read_archives(spark, f"file://{tmp_path}/w", payloads=True).collect() if x["record_type"] == "response")
+    texts = sorted(x["payload"] for x in W.read_archives(spark, f"file://{tmp_path}/w", payloads=True, compression=compression).collect() if x["record_type"] == "response")
     assert set(texts) == {html or "" for _, _, html, *_ in rows}
 
 
@@ -61,5 +61,21 @@ def test_damage_is_an_error():
             list(W.parse(iter([bad])))
 
 
+@pytest.mark.parametrize("broadcast", [0, 100])
+def test_hot_payload_and_repeated_rows(spark, tmp_path, monkeypatch, broadcast):
+    monkeypatch.setattr(W, "BROADCAST_KEYS", broadcast)
+    rows = [(k, f"http://{k}", "hot" if k % 3 else f"own {k % 20}", None, None) for k in range(120)] + [(1, "http://1", "hot", None, None), (1, "http://1", "else", None, None), (2, "http://2", "hot", None, None)]
+    out = W.archive_and_resolve(spark.createDataFrame(rows, SCHEMA), f"file://{tmp_path}/w")
+    assert sorted(map(tuple, out.collect()), key=str) == expected(rows)
+    found = W.read_archives(spark, f"file://{tmp_path}/w").where("record_type = 'response'")
+    assert found.count() == len({html for _, _, html, *_ in rows}) + 1
+
+
+def test_a_lost_response_leaves_nulls(spark, tmp_path):
+    W.write_archives(spark.createDataFrame([(1, "a", "x", None, None), (2, "b", "x", None, None)], SCHEMA), f"file://{tmp_path}/w")
+    out = W.resolve(W.read_archives(spark, f"file://{tmp_path}/w").where("record_type = 'revisit'")).collect()
+    assert [(r["page_id"], r["payload_bytes"], r["refers_to"]) for r in out] == [(2, None, None)]
+
+
 def test_empty_table(spark, tmp_path):
     assert W.archive_and_resolve(spark.createDataFrame([], SCHEMA), f"file://{tmp_path}/w").count() == 0

@@ -14,10 +14,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Bytes of a batch that a Python worker gets, so that its memory doesn't depend on how long texts are.
+BATCH_BYTES = 8 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or in local runs one of our own."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or, where all run on one machine, one of our own."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not (spark.sparkContext.master or "").startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tidewright-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -63,7 +69,10 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives this package to Python workers that start outside its folder; once an application."""
+    """Gives this package to Python workers that start outside its folder, once an application, and bounds the batches that they get."""
+    bytes_key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if str(spark.conf.get(bytes_key)).rstrip("b") != str(BATCH_BYTES):
+        spark.conf.set(bytes_key, BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         _shipped.add(app)
@@ -75,11 +84,15 @@ def ship(spark: SparkSession) -> None:
         spark.sparkContext.addPyFile(str(target))
 
 
+def map_stream(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """mapInArrow of a function of a partition's batches."""
+    ship(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str | T.StructType) -> DataFrame:
     """mapInArrow of a function of one batch.  The function is called with whole batches in the order they come."""
 
-    ship(df.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -87,7 +100,23 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | p
                 if out is not None and out.num_rows:
                     yield from out.to_batches() if isinstance(out, pa.Table) else [out]
 
-    return df.mapInArrow(run, schema)
+    return map_stream(df, run, schema)
+
+
+#: Keys that hold more than one row in so many are hot; there are at most as many such keys.
+HOT_SHARE = 10_000
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Joins ``left`` to ``right``, which has one row a key at most; an inner or left join.
+
+    Keys that hold more than one in HOT_SHARE of the rows of ``left`` are joined by a broadcast
+    of their at most HOT_SHARE rows of ``right``, so that no task gets a hot key's rows.
+    """
+    total = left.count()
+    hot = left.groupBy(*on).agg(F.count("*").alias("rows")).where(F.col("rows") * HOT_SHARE > F.lit(total)).where("rows > 1").select(*on)
+    mine = right.join(F.broadcast(hot), on, "left_semi")
+    return left.join(F.broadcast(mine), on).unionByName(left.join(F.broadcast(mine.select(*on)), on, "left_anti").join(right, on, how))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,9 +1,12 @@
 """WARC archives with revisit resolution.
 
-Headers are shuffled by payload digest: the least page of a digest is the
-original response and the others are joined to it as revisits, which carry no
-payload.  Archives are written by Spark's own writer, so any store that Spark
-reaches will do, and read back by streaming each file through a parser.
+Only headers - id, URL, digest and length - are shuffled: the least page of a
+digest is found by an aggregation that combines before its shuffle, and the
+others are joined to it as revisits.  Responses are written from the pages as
+they are stored, without a shuffle of payloads: what says that a row is a
+revisit is joined by page id, broadcast if a count shows that it is small.
+Archives are written by Spark's own writer, so any store that Spark reaches will
+do, and read back as streams, a record at a time.
 """
 
 from __future__ import annotations
@@ -11,14 +14,14 @@ from __future__ import annotations
 import base64
 import datetime
 import hashlib
-import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm._spark import Scratch
+from tidewright.llm._spark import Scratch, hot_join, map_stream
 
 #: Fixed values of the WARC 1.1 format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -28,6 +31,8 @@ END = CRLF + CRLF
 
 #: Records of one archive file at most, so that a file stays a task's worth of reading.
 RECORDS = 20_000
+#: Keys of revisits that are broadcast at most; more are joined by page id.
+BROADCAST_KEYS = 200_000
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -64,32 +69,39 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     headers = scratch.write(rows.select("page", "url", "digest", "n"), "headers")
     named = headers.where(F.col("page").isNotNull() & (F.col("n") >= least_bytes))
     originals = named.groupBy("digest", "n").agg(F.min(F.struct("page", "url")).alias("o"), F.count("*").alias("copies")).where("copies > 1")
-    originals = originals.select("digest", "n", F.col("o.page").alias("original"), F.col("o.url").alias("original_url"))
-    rows = rows.join(originals, ["digest", "n"], "left")
-    revisit = F.coalesce(F.col("original") < F.col("page"), F.lit(False))
+    originals = scratch.write(originals.select("digest", "n", F.col("o.page").alias("original"), F.col("o.url").alias("original_url")), "originals")
+    revisits = scratch.write(hot_join(named, originals, ["digest", "n"]).where("page > original"), "revisits")
+    keys = revisits.select("page", "digest").distinct()
+    if keys.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    responses = rows.join(keys, ["page", "digest"], "left_anti")
     head = F.concat(F.lit("HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=utf-8" + CRLF + "Content-Length: "), F.col("n").cast("string"), F.lit(END))
-    block = F.when(revisit, F.lit("")).otherwise(F.concat(head, F.col("payload")))
 
     def line(name: str, value: Column) -> Column:
         return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(CRLF)), F.lit(""))
 
-    record = F.concat(
-        F.lit("WARC/1.1" + CRLF),
-        line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        line("WARC-Record-ID", F.concat(F.lit("<"), _record_id(F.col("page"), F.col("url"), F.col("digest")), F.lit(">"))),
-        line("WARC-Date", F.lit(date)),
-        line("WARC-Target-URI", F.col("url")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        line("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
-        line("WARC-Refers-To", F.when(revisit, F.concat(F.lit("<"), _record_id(F.col("original"), F.col("original_url"), F.col("digest")), F.lit(">")))),
-        line("X-Page-Id", F.col("page").cast("string")),
-        line("Content-Type", F.lit("application/http; msgtype=response")),
-        line("Content-Length", F.octet_length(block).cast("string")),
-        F.lit(CRLF),
-        block,
-    )
-    rows.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS).option("compression", compression).text(path)
-    scratch.drop(headers)
+    def record(kind: str, block: Column, *more: Column) -> Column:
+        return F.concat(
+            F.lit("WARC/1.1" + CRLF),
+            line("WARC-Type", F.lit(kind)),
+            line("WARC-Record-ID", F.concat(F.lit("<"), _record_id(F.col("page"), F.col("url"), F.col("digest")), F.lit(">"))),
+            line("WARC-Date", F.lit(date)),
+            line("WARC-Target-URI", F.col("url")),
+            line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
+            *more,
+            line("X-Page-Id", F.col("page").cast("string")),
+            line("Content-Type", F.lit("application/http; msgtype=response")),
+            line("Content-Length", F.octet_length(block).cast("string")),
+            F.lit(CRLF),
+            block,
+        )
+
+    refers = F.concat(F.lit("<"), _record_id(F.col("original"), F.col("original_url"), F.col("digest")), F.lit(">"))
+    texts = [responses.select(record("response", F.concat(head, F.col("payload"))).alias("value"))]
+    texts.append(revisits.select(record("revisit", F.lit(""), line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", refers)).alias("value")))
+    for df, mode in zip(texts, ("errorifexists", "append"), strict=True):
+        df.write.mode(mode).option("lineSep", END).option("maxRecordsPerFile", RECORDS).option("compression", compression).text(path)
+    scratch.drop(headers, originals, revisits)
 
 
 def parse(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -105,6 +117,8 @@ def parse(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         return True
 
     while True:
+        while need(2) and held[:2] == b"\r\n":  # a reader of lines ends the last one, ended or not
+            del held[:2]
         searched = 0
         while (at := held.find(b"\r\n\r\n", searched)) < 0:
             searched = max(0, len(held) - 3)
@@ -123,49 +137,50 @@ def parse(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         del held[: at + 4 + size + 4]
 
 
-def _unpacked(content: bytes, step: int = 1 << 20) -> Iterator[bytes]:
-    if content[:2] != b"\x1f\x8b":
-        yield from (content[k : k + step] for k in range(0, len(content), step))
-        return
-    while content:  # one gzip member after another
-        inflate = zlib.decompressobj(31)
-        while not inflate.eof and content:
-            if out := inflate.decompress(content, step):
-                yield out
-            content = inflate.unconsumed_tail
-        content = inflate.unused_data
-
-
-def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, payloads: bool = False, compression: str = "gzip") -> DataFrame:
     """One row per record under ``path``: record_id, record_type, page_id, url, payload_digest, refers_to, payload_bytes and, if asked for, payload.
 
     Digests of responses are checked against their payloads.  payload_bytes and
-    payload are null for revisits; resolve() fills them in.
+    payload are null for revisits; resolve() fills them in.  Gzipped archives are
+    streams, of which a worker holds a record at a time; plain ones
+    (compression="none") could be split within a record, so each is read whole.
     """
     schema = "record_id string, record_type string, page_id long, url string, payload_digest string, refers_to string, payload_bytes long" + ", payload string" * payloads
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in schema.split(", ")]
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def rows(records: Iterator[tuple[dict[str, str], bytes]]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        size = 0
+        for headers, block in records:
+            payload = block.partition(b"\r\n\r\n")[2] if headers["warc-type"] == "response" else None
+            digest = headers.get("warc-payload-digest", "").removeprefix("sha1:")
+            if payload is not None and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
+                raise ValueError(f"the payload of {headers.get('warc-record-id')} doesn't have its digest")
+            page = headers.get("x-page-id")
+            row = (headers["warc-record-id"], headers["warc-type"], int(page) if page else None, headers.get("warc-target-uri"), digest, headers.get("warc-refers-to"), None if payload is None else len(payload))
+            out.append(row + ((None if payload is None else payload.decode("utf-8"),) if payloads else ()))
+            size += len(block) if payloads else 0
+            if len(out) >= 5000 or size > 1 << 22:
+                yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in out], _arrow(payloads))
+                out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in out], _arrow(payloads))
+
+    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines = ((f, x) for batch in batches for f, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        for _, own in groupby(lines, lambda x: x[0]):
+            yield from rows(parse(x.encode() + b"\r\n\r\n" for _, x in own))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                out: list[tuple] = []
-                size = 0
-                for headers, block in parse(_unpacked(content.as_py())):
-                    payload = block.partition(b"\r\n\r\n")[2] if headers["warc-type"] == "response" else None
-                    digest = headers.get("warc-payload-digest", "").removeprefix("sha1:")
-                    if payload is not None and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
-                        raise ValueError(f"the payload of {headers.get('warc-record-id')} doesn't have its digest")
-                    page = headers.get("x-page-id")
-                    row = (headers["warc-record-id"], headers["warc-type"], int(page) if page else None, headers.get("warc-target-uri"), digest, headers.get("warc-refers-to"), None if payload is None else len(payload))
-                    out.append(row + ((None if payload is None else payload.decode("utf-8"),) if payloads else ()))
-                    size += len(block)
-                    if len(out) >= 5000 or payloads and size > 1 << 24:
-                        yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in out], _arrow(payloads))
-                        out, size = [], 0
-                if out:
-                    yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in out], _arrow(payloads))
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+                raw = memoryview(content.as_buffer())
+                yield from rows(parse(bytes(raw[k : k + (1 << 20)]) for k in range(0, len(raw), 1 << 20)))
+
+    if compression == "none":
+        return map_stream(spark.read.format("binaryFile").load(path).select("content"), whole, schema)
+    # A gzipped file is read by one task from its start; its pieces come in order.
+    return map_stream(spark.read.option("lineSep", END).text(path).select(F.xxhash64(F.input_file_name()).alias("file"), "value"), streamed, schema)
 
 
 def _arrow(payloads: bool) -> pa.Schema:
@@ -174,10 +189,17 @@ def _arrow(payloads: bool) -> pa.Schema:
 
 
 def resolve(records: DataFrame) -> DataFrame:
-    """Revisits joined to the responses that they refer to: page_id, payload_bytes, payload_digest, record_type, refers_to (the response's page_id)."""
-    responses = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_to"), "payload_digest", F.col("page_id").alias("page"), F.col("payload_bytes").alias("bytes")).dropDuplicates(["refers_to"])
-    joined = records.join(responses, ["refers_to", "payload_digest"], "left")
-    return joined.select("page_id", F.coalesce("payload_bytes", "bytes").alias("payload_bytes"), "payload_digest", "record_type", F.col("page").alias("refers_to"))
+    """Revisits joined to the responses that they refer to: page_id, payload_bytes, payload_digest, record_type, refers_to (the response's page_id).
+
+    A revisit whose response isn't among the records has nulls for what it would tell.
+    """
+    out = ["page_id", "payload_bytes", "payload_digest", "record_type"]
+    responses = records.where("record_type = 'response'")
+    # Rows that repeat a record are one record.
+    named = responses.groupBy(F.col("record_id").alias("refers_to"), "payload_digest").agg(F.min("page_id").alias("page"), F.min("payload_bytes").alias("bytes"))
+    revisits = hot_join(records.where("record_type = 'revisit'"), named, ["refers_to", "payload_digest"], "left")
+    revisits = revisits.select("page_id", F.col("bytes").alias("payload_bytes"), "payload_digest", "record_type", F.col("page").alias("refers_to"))
+    return responses.select(*out, F.lit(None).cast("long").alias("refers_to")).union(revisits)
 
 
 def archive_and_resolve(pages: DataFrame, path: str | None = None, **options) -> DataFrame:
@@ -190,4 +212,4 @@ def archive_and_resolve(pages: DataFrame, path: str | None = None, **options) ->
     scratch = Scratch(spark)
     path = path or scratch.path("archives")
     write_archives(pages, path, **options)
-    return resolve(scratch.write(read_archives(spark, path), "records"))
+    return resolve(scratch.write(read_archives(spark, path, compression=options.get("compression", "gzip")), "records"))
