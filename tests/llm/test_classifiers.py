@@ -50,8 +50,35 @@ def test_languages(docs):
     assert L.identify(docs.limit(0), L.learn(docs.limit(0))).count() == 0
 
 
-def test_counts_equal_one_by_one():
-    text = ["Ünd der Éclair 12x", "", "a", "ab", None, "the the"]
+def test_languages_equal_brute_force(docs):
+    model = L.learn(docs)
+    out = {(r["doc_id"], r["lang_pred"]): r for r in L.identify(docs, model).collect()}
+    assert set(model.langs) == {"en", "de", "fr", "xx"} and model.langs.count("en") == 3
+    for row in docs.where("doc_id < 60").collect():
+        raw = "".join(c.lower() if c.isalpha() else " " if ord(c) < 128 else c for c in row["text"]).encode()
+        vector = np.zeros(L.DIMENSIONS)
+        for a, b, c in zip(raw, raw[1:], raw[2:]):  # noqa: B905
+            if b != 32 or a != 32 and c != 32:
+                code = (a * 0x9E3779B1 & 0xFFFFFFFF) ^ (b * 0x85EBCA77 & 0xFFFFFFFF) ^ (c * 0xC2B2AE3D & 0xFFFFFFFF)
+                vector[((code ^ code >> 15) * 0x2C1B3C6D & 0xFFFFFFFF) >> 20] += 1
+        vector = np.log1p(vector) * model.idf
+        cosines = model.centroids @ vector / np.linalg.norm(vector)
+        best = int(np.argmax(cosines))
+        assert out[row["doc_id"], model.langs[best]]["score"] == pytest.approx(cosines[best], abs=1e-5)
+
+
+def test_one_scan_samples_all_classes(spark):
+    rows = spark.createDataFrame([(i % 50, f"c{i % 3}") for i in range(900)] + [(7, "hot")] * 500, "doc_id long, label string")
+    found = L.sample_ids(rows, "label", 10).collect()
+    assert len(set(found)) == len(found) == 31
+
+
+def test_counts_equal_one_by_one(monkeypatch):
+    text = ["Ünd der Éclair 12x", "", "a", "ab", None, "the the", "Éclair ÉÉ the thing " * 20]
+    whole = L.trigram_counts(*L.X.utf8(pa.array(text)))
+    for window in (1, 7, 50):
+        monkeypatch.setattr(L.X, "WINDOW", window)
+        assert (L.trigram_counts(*L.X.utf8(pa.array(text))) == whole).all()
     data, offsets = L.X.utf8(pa.array(text))
     counts = L.trigram_counts(data, offsets)
     for row, t in enumerate(text):
@@ -64,7 +91,8 @@ def test_counts_equal_one_by_one():
 
 def test_far_texts_are_rejected():
     rng = random.Random(1)
-    model = L.fit([prose(rng, lang, 40) for lang in SYLLABLES for _ in range(60)], [lang for lang in SYLLABLES for _ in range(60)])
+    data, offsets = L.X.utf8(pa.array([prose(rng, lang, 40) for lang in SYLLABLES for _ in range(60)]))
+    model = L.fit([(np.flatnonzero(row), row[row > 0]) for row in L.trigram_counts(data, offsets)], [lang for lang in SYLLABLES for _ in range(60)])
     _, cosine = model.nearest(L.trigram_counts(*L.X.utf8(pa.array(["zxqj vkwp qqzz xkcd jjvv wwkk zzqx"] + [prose(rng, "de", 40)]))))
     best, _ = model.nearest(L.trigram_counts(*L.X.utf8(pa.array([prose(rng, "de", 40)]))))
     assert model.langs[best[0]] == "de"

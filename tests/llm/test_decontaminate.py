@@ -31,7 +31,9 @@ def brute(docs, items):
     return out
 
 
-def test_equals_brute_force(spark, words):
+@pytest.mark.parametrize("block", [D.BLOCK_WORDS, 40])
+def test_equals_brute_force(spark, words, monkeypatch, block):
+    monkeypatch.setattr(D, "BLOCK_WORDS", block)
     rng = random.Random(4)
     items = [(i, " ".join(rng.choice(words) for _ in range(n))) for i, n in enumerate([2, 4, 6, 9, 15, 22, 30])]
     docs = []
@@ -67,7 +69,9 @@ def test_blocks_give_the_same(spark, words, monkeypatch):
     assert [(r["doc_id"], r["item_id"], r["first_word"], r["n_words"], r["equal_words"], r["item_words"]) for r in whole] == [(k, k, 1, 18, 18, 18) for k in range(8)]
 
 
-def test_nulls_empties_and_repeats(spark):
+@pytest.mark.parametrize("block", [D.BLOCK_WORDS, 0])
+def test_nulls_empties_and_repeats(spark, monkeypatch, block):
+    monkeypatch.setattr(D, "BLOCK_WORDS", block)
     text = "alpha beta gamma delta epsilon zeta eta theta"
     df = spark.createDataFrame([(1, text, None, None), (1, text, None, None), (None, text, None, None), (2, None, None, None), (3, "", None, None), (4, "unrelated " * 9000, None, None)], DOCS)
     bench = spark.createDataFrame([(7, text), (7, text), (8, None), (9, ""), (None, text)], ITEMS)
@@ -78,6 +82,34 @@ def test_nulls_empties_and_repeats(spark):
     assert D.leaks(df.limit(0), bench).count() == 0
 
 
+def test_any_script_case_and_punctuation(spark):
+    items = [(1, "It isn't \u201cthe\u201d best of times\u2014nor the worst of all times, said one"), (2, "Съешь же ещё этих мягких французских булок да выпей чаю"), (3, "天地玄黄宇宙洪荒日月盈昃辰宿列张")]
+    docs = [(1, "so it isn\u2019t the best of times nor the worst of all times said one more"), (2, "СЪЕШЬ ЖЕ ЕЩЁ\u00a0ЭТИХ \u2014 МЯГКИХ, ФРАНЦУЗСКИХ БУЛОК ДА ВЫПЕЙ ЧАЮ!"), (3, "前言：天地玄黄，宇宙洪荒。日月盈昃，辰宿列张。"), (4, "nothing of it")]
+    got = D.leaks(spark.createDataFrame([(*d, None, None) for d in docs], DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 1), (2, 2), (3, 3)}
+
+
+def test_recall_of_replaced_words(words):
+    """Of overlaps of 15 to 40 words, a tenth to three in ten of them replaced at random, that meet the rule."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tidewright.llm import _text as X
+
+    rng = random.Random(9)
+    seen = found = 0
+    for _ in range(1500):
+        n = rng.randint(15, 40)
+        item = [rng.choice(words) for _ in range(n)]
+        equal = np.array([rng.random() > rng.uniform(0.1, 0.3) for _ in range(n)])
+        start, end = D._longest_leak(equal)
+        if equal[start:end].sum() >= min(13, 0.8 * n):
+            seen += 1
+            text = " ".join(w if e else "swapped" for w, e in zip(item, equal, strict=True))
+            found += bool(D.overlaps(D.plant([1], [" ".join(item)]), *X.utf8(pa.array([text]))))
+    assert seen > 900 and found >= 0.997 * seen
+
+
 @pytest.mark.parametrize(("equal", "want"), [([], (0, 0)), ([False], (0, 0)), ([True, False, True, True, True, False], (2, 5)), ([True] * 5 + [False] + [True] * 5, (0, 11))])
 def test_best_stretch(equal, want):
     import numpy as np

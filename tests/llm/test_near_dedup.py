@@ -97,3 +97,43 @@ def test_shingles_are_those_of_the_bytes():
     data, offsets = utf8(pa.array(["A b\x0bB  a b", None, "", "solo", "É b", "é b"]))
     _, bounds = shingle_sets(data, offsets, 2)
     assert np.diff(bounds).tolist() == [3, 0, 0, 1, 1, 1]
+
+
+def test_words_that_collide_in_polynomials_are_apart(spark):
+    a = "a"
+    for _ in range(11):
+        a += a.translate(str.maketrans("ab", "ba"))
+    texts = [x[:n] for n in (64, 128, 256, 512, 1024, 2048) for x in (a, a.translate(str.maketrans("ab", "ba")))]
+    out = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shingle_words=2).collect()
+    assert all(r["kept"] for r in out)
+
+
+def test_word_hashes_tell_words_apart_in_any_window(monkeypatch):
+    from tidewright.llm import _text as X
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("aB c\n\tdé") for _ in range(rng.randint(0, 40))) for _ in range(300)] + ["x" * 1000 + " y" * 3, "", "A" * 256, "a" * 257, "A" * 257, "a" * 8, "a" * 16]
+    data, offsets = utf8(__import__("pyarrow").array(texts))
+    found = []
+    for window in (1 << 22, 64, 1):
+        monkeypatch.setattr(X, "WINDOW", window)
+        hashes, first = X.word_hashes(data, offsets)
+        seen = {}
+        for k, text in enumerate(texts):
+            words = text.encode().lower().split()
+            assert len(words) == first[k + 1] - first[k]
+            for word, h in zip(words, hashes[first[k] : first[k + 1]].tolist(), strict=True):
+                assert seen.setdefault(word, h) == h
+        assert len(set(seen.values())) == len(seen)
+        found.append(seen)
+    assert found[0] == found[1] == found[2]
+
+
+def test_letters_of_all_scripts(monkeypatch):
+    from tidewright.llm import _text as X
+
+    texts = ["\u201cQuoted\u201d em\u2014dash\u00a0ПРИВЕТ мир don\u2019t cafe\u0301 你好", "quoted em dash привет МИР don t CAFÉ 你 好", ""]
+    for window in (1 << 22, 3):
+        monkeypatch.setattr(X, "WINDOW", window)
+        hashes, first = X.letter_hashes(*utf8(__import__("pyarrow").array(texts)))
+        assert first.tolist() == [0, 10, 20, 20] and hashes[:10].tolist() == hashes[10:].tolist()

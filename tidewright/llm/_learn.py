@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,15 +11,21 @@ def fold(id_: Column, folds: int) -> Column:
     return F.crc32(id_.cast("string").cast("binary")) % folds
 
 
-def sample_ids(rows: DataFrame, class_col: str, classes: list, quota: int) -> DataFrame:
-    """Up to ``quota`` rows of each class, those with the least hashes of doc_id; repeated rows once."""
-    def of(value) -> DataFrame:
-        return rows.where(F.col(class_col) == F.lit(value)).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(quota)
+def sample_ids(rows: DataFrame, class_col: str, quota: int) -> DataFrame:
+    """(doc_id, class) of up to ``quota`` ids of each class, those with the least hashes; an id that stands in several classes is one of each.
+
+    One aggregation drops repeated rows; each of its partitions then passes on
+    ``quota`` ids a class at most.
+    """
+    rank = F.row_number().over(Window.partitionBy(class_col).orderBy(F.xxhash64("doc_id"), "doc_id"))
+    return rows.select("doc_id", class_col).distinct().withColumn("_rank", rank).where(F.col("_rank") <= quota).drop("_rank")
 
-    return reduce(DataFrame.union, [of(x) for x in classes])
 
+def labelled_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, label_col: str | None = None) -> DataFrame:
+    """(doc_id, label, text) of the sampled ids, which are few enough to broadcast by their quota.
 
-def labelled_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, label, text) of the sampled ids, which are few enough to broadcast by their quota."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.join(F.broadcast(ids), "doc_id")
+    With ``label_col``, a column of ``docs``, only rows that have the sampled label themselves.
+    """
+    own = [F.col(label_col).cast("string").alias("label")] if label_col else []
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *own)
+    return source.join(F.broadcast(ids), ["doc_id", "label"] if label_col else "doc_id")

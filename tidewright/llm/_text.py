@@ -1,47 +1,44 @@
 """Vectorised word hashing over Arrow string columns.
 
 Words are the maximal runs of bytes outside ``\\x20\\x09-\\x0D``, compared after
-lower-casing A-Z.  A word's hash is a polynomial in a random odd base over
-random 64-bit symbols, read off one prefix sum per block of texts, so that no
-Python code runs per word.
+lower-casing A-Z.  A word's hash is chained over its eight-byte pieces, each
+mixed by a bijection with how many bytes are left; words are hashed together, a piece of
+all at a time, so that no Python code runs per word.  (A polynomial modulo 2^64
+would not do: some pairs of words collide for every base.)
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
-#: Bytes of text hashed at a time; one longer text is a block of its own.
-BLOCK_BYTES = 2 << 20
-
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_SYMBOL = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-_SYMBOL[65:91] = _SYMBOL[97:123]
-_BASE = int(_rng.integers(1, 2**63)) | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bytes of text hashed at a time, rows at most; one longer text is a block of its own, whose words are found in windows.
+BLOCK_BYTES, BLOCK_ROWS, WINDOW = 1 << 19, 8192, 4 << 20
+#: Words of more bytes are hashed one by one.
+LONG = 256
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
-
-
-def _power(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(n, base, U)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=U)
-    return _powers
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] = _FOLD[97:123]
+_MASKS = np.array([0, *((1 << 8 * k) - 1 for k in range(1, 9))], U)
+_SEED = U(0xD6E8FEB86659FD93)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (splitmix64)."""
     x = x + U(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
+    for shift, odd in ((U(30), U(0xBF58476D1CE4E5B9)), (U(27), U(0x94D049BB133111EB))):
+        x ^= x >> shift
+        x *= odd
+    x ^= x >> U(31)
+    return x
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,42 +59,134 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - first
 
 
-def blocks(offsets: np.ndarray, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about ``size`` bytes each."""
+def blocks(offsets: np.ndarray, size: int = BLOCK_BYTES, rows: int = BLOCK_ROWS) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``size`` bytes each, ``rows`` rows at most."""
     n, row = len(offsets) - 1, 0
     while row < n:
         end = int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1
-        end = min(max(end, row + 1), n)
+        end = min(max(end, row + 1), row + rows, n)
         yield row, end
         row = end
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray, separates: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of each word; no word runs over the edge of a text.  ``separates``: the bytes between words."""
-    solid = ~separates[data]
-    cut = np.zeros(len(data) + 1, bool)
-    cut[offsets] = True
-    starts = solid.copy()
-    starts[1:] &= ~solid[:-1] | cut[1:-1]
-    ends = solid.copy()
-    ends[:-1] &= ~solid[1:] | cut[1:-1]
-    return np.flatnonzero(starts), np.flatnonzero(ends) + 1
+def spans(solid, size: int, offsets: np.ndarray, alone=None) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word of a block; no word runs over the edge of a text.
+
+    ``solid(a, b)`` tells which of the places a to b belong to words, and
+    ``alone(a, b)`` which of those are words by themselves.
+    """
+    starts, ends = [], []
+    for a in range(0, size, WINDOW):
+        b = min(a + WINDOW, size)
+        low, high = max(a - 1, 0), min(b + 1, size)
+        inside = solid(low, high)
+        cut = np.zeros(high - low + 1, bool)
+        cut[offsets[np.searchsorted(offsets, low) : np.searchsorted(offsets, high, "right")] - low] = True
+        if alone is not None:
+            single = alone(low, high)
+            cut[:-1] |= single
+            cut[1:] |= single
+        start, end = inside.copy(), inside.copy()
+        start[1:] &= ~inside[:-1] | cut[1:-1]
+        end[:-1] &= ~inside[1:] | cut[1:-1]
+        starts.append(np.flatnonzero(start[a - low : b - low]) + a)
+        ends.append(np.flatnonzero(end[a - low : b - low]) + a + 1)
+    none = [np.empty(0, np.int64)]
+    return np.concatenate(starts or none), np.concatenate(ends or none)
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word."""
+    return spans(lambda a, b: ~_SPACE[data[a:b]], len(data), offsets)
+
+
+def fold(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z in lower case."""
+    return _FOLD[data]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans of one block, equal for equal lower-cased bytes wherever they stand."""
-    if not len(data):
+    """64-bit hashes of byte spans of one block, none of them empty, equal for equal bytes wherever they stand."""
+    if not len(starts):
         return np.empty(0, U)
-    power, inverse = _power(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U)
-    np.cumsum(_SYMBOL[data] * power[: len(data)], dtype=U, out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * inverse[starts])
+    padded = np.concatenate([data.view(np.uint8), np.zeros(8, np.uint8)])
+    pieces = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    size = ends - starts
+    out = mix64(mix64(np.arange(9, dtype=U) ^ _SEED)[np.minimum(size, 8)] ^ (pieces[starts] & _MASKS[np.minimum(size, 8)]))
+    live = np.arange(len(starts))
+    for k in range(8, min(int(size.max()), LONG), 8):
+        live = live[size[live] > k]
+        left = np.minimum(size[live] - k, 9)
+        out[live] = mix64((out[live] + left.astype(U)) ^ (pieces[starts[live] + k] & _MASKS[np.minimum(left, 8)]))
+    for k in np.flatnonzero(size > LONG):
+        out[k] = xxhash.xxh3_64_intdigest(padded[starts[k] : ends[k]])
+    return out
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of a block in order, and the index of each text's first word (one more than texts)."""
     starts, ends = word_spans(data, offsets)
-    return span_hashes(data, starts, ends), np.searchsorted(starts, offsets)
+    return span_hashes(fold(data), starts, ends), np.searchsorted(starts, offsets)
+
+
+#: Scripts without spaces between words, by code points: Thai and Lao, Tibetan, Burmese, Khmer, kana, Han.  Each character is a word.
+_UNSPACED = ((0x0E00, 0x0F00), (0x0F00, 0x1000), (0x1000, 0x10A0), (0x1780, 0x1800), (0x3040, 0x3100), (0x3400, 0x4DC0), (0x4E00, 0xA000), (0xF900, 0xFB00), (0x20000, 0x40000))
+#: Ranges whose characters are all letters without case.
+_UNCASED = ((0x3400, 0x4DC0), (0x4E00, 0xA000), (0xAC00, 0xD7A4), (0x20000, 0x323B0))
+ALONE = np.uint32(1 << 31)
+
+
+@cache
+def letter_table() -> np.ndarray:
+    """For each code point 0 if it parts words, or itself in lower case, with ALONE set where it is a word by itself.
+
+    Letters, digits and the marks upon them make words, in every script.
+    """
+    table = np.zeros(0x110000, np.uint32)
+    skipped = np.zeros(0x20000, bool)
+    for a, b in _UNCASED:
+        table[a:b] = np.arange(a, b)
+        skipped[a:b] = True
+    skipped[0xD7A4:0xF900] = True  # surrogates and private use
+    for code in np.flatnonzero(~skipped).tolist():
+        c = chr(code)
+        if c.isalnum() or unicodedata.category(c)[0] == "M":
+            low = c.casefold()
+            low = low if len(low) == 1 else c.lower()
+            table[code] = ord(low) if len(low) == 1 else code
+    for a, b in _UNSPACED:
+        part = table[a:b]
+        part[part > 0] |= ALONE
+    return table
+
+
+def letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A block's texts as letter_table() has their code points, composed (NFC), and where each begins."""
+    raw = data.tobytes()
+    try:
+        whole = raw.decode("utf-8")
+    except UnicodeDecodeError:
+        whole = None
+    if whole is None or not (whole.isascii() or unicodedata.is_normalized("NFC", whole)):
+        texts = [unicodedata.normalize("NFC", raw[a:b].decode("utf-8", "replace")) for a, b in zip(offsets, offsets[1:])]  # noqa: B905
+        whole, places = "".join(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    elif whole.isascii():
+        places = offsets
+    else:
+        full = np.flatnonzero(np.diff(offsets))
+        sizes = np.zeros(len(offsets) - 1, np.int64)
+        if len(full):
+            sizes[full] = np.add.reduceat((data & 0xC0) != 0x80, offsets[full], dtype=np.int64)
+        places = np.concatenate([[0], np.cumsum(sizes)])
+    codes = np.frombuffer(whole.encode("utf-32-le"), np.uint32) if not whole.isascii() else data
+    return letter_table()[codes], places
+
+
+def letter_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Like word_hashes() for words of letters and digits of any script and case; characters of unspaced scripts are words."""
+    codes, places = letters(data, offsets)
+    starts, ends = spans(lambda a, b: codes[a:b] > 0, len(codes), places, lambda a, b: codes[a:b] >= ALONE)
+    return span_hashes(codes.astype("<u4"), starts * 4, ends * 4), np.searchsorted(starts, places)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

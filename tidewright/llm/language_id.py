@@ -9,6 +9,7 @@ that centroid than almost all that the centroid was learned from.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +23,10 @@ from tidewright.llm._spark import map_batches
 
 #: Hashed trigrams; training rows a language at most; centroids a language; the share of training rows within a centroid's reach.
 DIMENSIONS, QUOTA, CENTROIDS, REACH = 4096, 800, 3, 0.999
+#: Languages at most; a table with more labels has something else in that column, and is an error.
+LANGUAGES = 1000
+#: Texts whose vectors are made together.
+ROWS = 256
 UNKNOWN = "und"
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -31,19 +36,25 @@ _FOLD[65:91] = np.arange(97, 123)
 
 
 def trigram_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Counts (texts x DIMENSIONS) of hashed trigrams of a block."""
+    """Counts (texts x DIMENSIONS) of hashed trigrams of a block, a window at a time."""
     rows = len(offsets) - 1
-    x = _FOLD[data]
-    if len(x) > 1:  # upper-case letters of U+00C0 to U+00DE
+    out = np.zeros(rows * DIMENSIONS, np.int64)
+    for low in range(0, max(len(data) - 2, 0), X.WINDOW):
+        high = min(low + X.WINDOW + 2, len(data))
+        before = max(low - 1, 0)
+        x = _FOLD[data[before:high]]
+        # Upper-case letters of U+00C0 to U+00DE.
         accented = np.flatnonzero((x[:-1] == 0xC3) & (x[1:] >= 0x80) & (x[1:] <= 0x9E) & (x[1:] != 0x97)) + 1
         x[accented] += 0x20
-    owner = np.repeat(np.arange(rows, dtype=np.int32), np.diff(offsets))
-    a, b, c = x[:-2].astype(np.uint32), x[1:-1].astype(np.uint32), x[2:].astype(np.uint32)
-    keep = (owner[:-2] == owner[2:]) & ((b != 32) | (a != 32) & (c != 32))
-    code = ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77)) ^ (c * np.uint32(0xC2B2AE3D)))
-    code = (code ^ (code >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(20)
-    at = owner[:-2].astype(np.int64) * DIMENSIONS + code
-    return np.bincount(at[keep], minlength=rows * DIMENSIONS).reshape(rows, DIMENSIONS)
+        x = x[low - before :]
+        owner = np.repeat(np.arange(rows, dtype=np.int32), np.diff(np.clip(offsets, low, high)))
+        a, b, c = x[:-2].astype(np.uint32), x[1:-1].astype(np.uint32), x[2:].astype(np.uint32)
+        keep = (owner[:-2] == owner[2:]) & ((b != 32) | (a != 32) & (c != 32))
+        code = (a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77)) ^ (c * np.uint32(0xC2B2AE3D))
+        code = (code ^ (code >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(20)
+        at = owner[:-2].astype(np.int64) * DIMENSIONS + code
+        out += np.bincount(at[keep], minlength=len(out))
+    return out.reshape(rows, DIMENSIONS)
 
 
 def has_letter(text: str | None) -> bool:
@@ -84,32 +95,69 @@ def _cluster(v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return centres, np.array([np.quantile(cosine[own == j, j], 1 - REACH) if (own == j).any() else 1.0 for j in range(len(centres))])
 
 
-def fit(texts: list[str], langs: list[str], centroids: int = CENTROIDS) -> Model:
-    """A model of the given texts; of none, one that knows no language."""
+def _rows(counts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Texts' places and counts as rows of a matrix."""
+    out = np.zeros((len(counts), DIMENSIONS), np.float32)
+    for row, (places, n) in enumerate(counts):
+        out[row, places] = n
+    return out
+
+
+def fit(counts: list[tuple[np.ndarray, np.ndarray]], langs: list[str], centroids: int = CENTROIDS) -> Model:
+    """A model of texts given by their trigrams' places and counts; of none, one that knows no language.
+
+    One language's vectors are made at a time.
+    """
     names = sorted(set(langs))
     if not names:
         return Model(np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), [], np.zeros(0))
-    data, offsets = X.utf8(pa.array(texts, pa.large_string()))
-    counts = np.concatenate([trigram_counts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]).astype(np.float32) for a, b in X.blocks(offsets)])
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))).astype(np.float32) + 1
+    held = sum(np.bincount(places, minlength=DIMENSIONS) for places, _ in counts)
+    idf = np.log((1 + len(counts)) / (1 + held)).astype(np.float32) + 1
     model = Model(idf, np.zeros((0, DIMENSIONS), np.float32), [], np.zeros(0))
-    vectors, lang = model.vectors(counts), np.array(langs)
-    found = [(name, *_cluster(vectors[lang == name], centroids)) for name in names]
+    found = [(name, *_cluster(model.vectors(_rows([c for c, x in zip(counts, langs, strict=True) if x == name])), centroids)) for name in names]
     model.centroids = np.concatenate([c for _, c, _ in found]).astype(np.float32)
     model.reach = np.concatenate([r for *_, r in found])
     model.langs = [name for name, c, _ in found for _ in c]
     return model
 
 
+def _matrices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
+    """The counts of a column's texts, some rows at a time."""
+    data, offsets = X.utf8(column)
+    for a, b in X.blocks(offsets, rows=ROWS):
+        yield a, b, trigram_counts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+
+
+def _sparse(batch: pa.RecordBatch) -> pa.Table:
+    labels, places, counts, ends = [], [], [], [0]
+    for a, b, found in _matrices(batch.column(1)):
+        for row, text, label in zip(found, batch.column(1).slice(a, b - a).to_pylist(), batch.column(0).slice(a, b - a).to_pylist(), strict=True):
+            if has_letter(text):
+                at = np.flatnonzero(row)
+                labels.append(label)
+                places.append(at)
+                counts.append(row[at])
+                ends.append(ends[-1] + len(at))
+    bounds = pa.array(ends, pa.int32())
+    values = lambda x: pa.array(np.concatenate(x or [np.empty(0, int)]), pa.int64())
+    return pa.table([pa.array(labels, pa.string()), pa.ListArray.from_arrays(bounds, values(places)), pa.ListArray.from_arrays(bounds, values(counts))], names=["label", "places", "counts"])
+
+
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held: int = 1, quota: int = QUOTA) -> Model:
-    """Learns from up to ``quota`` rows a language outside the held-out fold."""
+    """Learns from up to ``quota`` ids a language outside the held-out fold, of which LANGUAGES at most may be.
+
+    What reaches the driver is at most DIMENSIONS numbers a text, however long it is.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("label")).where(F.col("label").isNotNull() & (fold(F.col("doc_id"), folds) != held))
-    langs = sorted(r[0] for r in rows.select("label").distinct().collect())
-    if not langs:
+    ids = sample_ids(rows, "label", quota)
+    if len(names := ids.select("label").distinct().limit(LANGUAGES + 1).collect()) > LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {LANGUAGES} values")
+    if not names:
         return fit([], [])
-    found = labelled_texts(docs, sample_ids(rows, "label", langs, quota), id_col, text_col).where("text is not null").select("text", "label").collect()
-    found = sorted((tuple(r) for r in found if has_letter(r[0])), key=lambda r: (r[1], r[0]))
-    return fit([r[0] for r in found], [r[1] for r in found])
+    texts = labelled_texts(docs, ids, id_col, text_col, lang_col).select("label", "text")
+    found = map_batches(texts, _sparse, "label string, places array<long>, counts array<long>").toArrow()
+    found = sorted(zip(found["label"].to_pylist(), found["places"].to_pylist(), found["counts"].to_pylist(), strict=True))
+    return fit([(np.array(p, np.int64), np.array(n, np.int64)) for _, p, n in found], [x for x, *_ in found])
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", folds: int = 3, held: int = 1) -> DataFrame:
@@ -125,12 +173,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     names = np.array([*model.langs, UNKNOWN], object)
 
     def run(batch: pa.RecordBatch) -> pa.Table:
-        data, offsets = X.utf8(batch.column(1))
         n = batch.num_rows
         best, score = np.full(n, len(model.langs)), np.zeros(n)
-        for a, b in X.blocks(offsets):
+        for a, b, counts in _matrices(batch.column(1)):
             if model.langs:
-                best[a:b], score[a:b] = model.nearest(trigram_counts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+                best[a:b], score[a:b] = model.nearest(counts)
             for k, text in enumerate(batch.column(1).slice(a, b - a).to_pylist(), a):
                 if not has_letter(text):
                     best[k], score[k] = len(model.langs), 0

@@ -42,21 +42,35 @@ REACH = 5.0
 FEATURES = ["upper", "lower", "digits", "symbols", "marks", "stops", "wide", "word_length", "word_spread", "distinct", "pairs", "commonest", "line_words", "short_words"]
 
 
+def _distinct(values: np.ndarray, owner: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many different values each text has, and how often its commonest stands in it."""
+    if not len(values):
+        return np.zeros(rows), np.zeros(rows)
+    order = np.lexsort((values, owner))
+    value, own = values[order], owner[order]
+    opens = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (own[1:] != own[:-1])]))
+    most = np.zeros(rows)
+    np.maximum.at(most, own[opens], np.diff(np.append(opens, len(value))))
+    return np.bincount(own[opens], minlength=rows), most
+
+
 def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Transformed statistics (texts x FEATURES) of a block."""
     rows, size = len(offsets) - 1, np.diff(offsets)
     out = np.zeros((rows, len(FEATURES)))
-    total = np.maximum(size, 1)
+    total, full = np.maximum(size, 1), np.flatnonzero(size)
 
     def per_text(flags: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0], np.cumsum(flags)])
-        return sums[offsets[1:]] - sums[offsets[:-1]]
+        sums = np.zeros(rows, np.int64)
+        if len(full):
+            sums[full] = np.add.reduceat(flags, offsets[full], dtype=np.int64)
+        return sums
 
     for k, kind in enumerate(_KIND):
         out[:, k] = np.log((per_text(kind[data]) + USUAL_BYTES * USUAL[k]) / (total + USUAL_BYTES))
     starts, ends = X.word_spans(data, offsets)
     first = np.searchsorted(starts, offsets)
-    words = X.span_hashes(data, starts, ends)
+    words = X.span_hashes(X.fold(data), starts, ends)
     n = np.diff(first)
     count = np.maximum(n, 1)
     owner = np.repeat(np.arange(rows), n)
@@ -66,16 +80,12 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     few = USUAL_WORDS / (n + USUAL_WORDS)
     out[:, 7], out[:, 8] = np.log1p(mean) * (1 - few) + np.log(6) * few, np.log1p(spread) * (1 - few) + np.log(4) * few
     pairs = X.mix64(words[:-1] * np.uint64(3) + words[1:])
-    for row in range(rows):
-        own = words[first[row] : first[row + 1]]
-        if len(own):
-            _, times = np.unique(own, return_counts=True)
-            two = pairs[first[row] : first[row + 1] - 1]
-            out[row, 9] = np.log((len(times) + USUAL_WORDS) / (len(own) + USUAL_WORDS))
-            out[row, 10] = np.log((len(np.unique(two)) + USUAL_WORDS) / (len(two) + USUAL_WORDS))
-            out[row, 11] = np.log((times.max() + 0.06 * USUAL_WORDS) / (len(own) + USUAL_WORDS))
-        else:
-            out[row, 11] = np.log(0.06)
+    inner = owner[:-1] == owner[1:] if len(owner) else np.empty(0, bool)
+    kinds, most = _distinct(words, owner, rows)
+    two, _ = _distinct(pairs[inner], owner[:-1][inner], rows)
+    out[:, 9] = np.log((kinds + USUAL_WORDS) / (n + USUAL_WORDS))
+    out[:, 10] = np.log((two + USUAL_WORDS) / (np.maximum(n - 1, 0) + USUAL_WORDS))
+    out[:, 11] = np.log((most + 0.06 * USUAL_WORDS) / (n + USUAL_WORDS))
     breaks = per_text(data == 10)
     out[:, 12] = np.log((n + USUAL_WORDS) / (breaks + 1 + USUAL_WORDS / 15))
     out[:, 13] = np.log((np.bincount(owner[length <= 4], minlength=rows) + 0.4 * USUAL_WORDS) / (n + USUAL_WORDS))
@@ -132,7 +142,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Learns from up to ``quota`` labelled rows a class outside the held-out fold; the prior comes from all of them."""
     rows = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & (fold(F.col("doc_id"), folds) != held))
     counts = dict(rows.groupBy("label").count().collect())
-    texts = labelled_texts(docs, sample_ids(rows, "label", [0, 1], quota), id_col, text_col)
+    texts = labelled_texts(docs, sample_ids(rows, "label", quota), id_col, text_col)
 
     def run(batch: pa.RecordBatch) -> pa.Table:
         x = _featured(batch.column(1))
