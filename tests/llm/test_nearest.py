@@ -35,11 +35,11 @@ def test_small_tables_are_exact_with_ties(spark):
     assert all(abs(a - b) < 1e-9 for q in got for (a, _), (b, _) in zip(got[q], want[q], strict=True))
 
 
-@pytest.mark.parametrize("spread", [1.0, 0.05])
-def test_recall(spark, monkeypatch, spread):
+@pytest.mark.parametrize(("spread", "shift"), [(1.0, 0.0), (0.05, 0.0), (0.3, 10.0), (0.3, 1000.0)])
+def test_recall(spark, monkeypatch, spread, shift):
     monkeypatch.setattr(N, "CELL_ROWS", 60)
     rng = np.random.default_rng(1)
-    centres = rng.normal(size=(6, 16))
+    centres = rng.normal(size=(6, 16)) + shift
     rows = [(i, (centres[i % 6] + rng.normal(size=16) * (spread if i % 2 else 1)).tolist(), None) for i in range(3000)]
     got, want = gathered(N.nearest(spark.createDataFrame(rows, SCHEMA), every=100, probes=20)), brute(rows, 100)
     hits = np.mean([len({c for _, c in got[q]} & {c for _, c in want[q]}) / 10 for q in want])
@@ -72,7 +72,7 @@ def test_parallel_error_is_the_smaller():
     plain = N.Index(index.centres, index.books, 1.0)
     own = index.cells(x)
     r, _ = index.residuals(x, own)
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    u = r
 
     def along(i):
         codes = i.encode(x, own)

@@ -1,15 +1,18 @@
 """Approximate nearest neighbours by anisotropic four-bit quantisation and exact reranking.
 
-The smallest Euclidean distance is the largest inner product once half the
-squared length of a candidate is taken off, so candidates are quantised for
-inner products: the direction of each vector's residual to its cell's centre
-becomes one of 16 codewords for every two dimensions, chosen so that error along the vector
-counts ETA times error across it.  Two codes make a byte, a query turns the
-codebooks into tables of 256 sums, and the best of a table scan over its
-nearest cells are measured exactly on the original vectors.
+Within a cell the distance is smallest where the inner product of the query and
+a candidate, both taken from the cell's centre, less half the candidate's
+squared length, is largest; so residuals are quantised for inner products, and
+adding the same vector to all rows changes nothing.  The direction of each
+residual becomes one of 16 codewords for every two dimensions, chosen so that
+error along it counts ETA times error across it, as the queries that matter
+point where it does.  Two codes make a byte, a query turns the codebooks into
+tables of 256 sums, and the best of the table scans over its nearest cells are
+measured exactly on the original vectors.
 
 The centres and codebooks are learned from a bounded sample; every vector is
-indexed.  Cells are cut into chunks of bounded size, so that a cell with a very
+indexed.  Scans shuffle codes, not vectors; those are fetched by id for what is
+measured.  Cells are cut into chunks of bounded size, so that a cell with a very
 common vector is spread over tasks.  How many cells a query visits is measured
 on the table: the true neighbours of some queries are found by brute force, and
 the fewest cells are taken that hold RECALL of them.
@@ -26,8 +29,10 @@ from pyspark.sql import functions as F
 
 from tidewright.llm._spark import Scratch, map_batches
 
-#: Vectors to learn from at most, rows a cell is meant to have, cells at most, cells a query visits at least, candidates measured exactly in each chunk.
-SAMPLE, CELL_ROWS, CELLS, PROBES, RERANKED = 20_000, 512, 1024, 24, 120
+#: Vectors to learn from at most, rows a cell is meant to have, cells at most, cells a query visits at least, candidates of a query measured exactly.
+SAMPLE, CELL_ROWS, CELLS, PROBES, RERANKED = 20_000, 512, 1024, 24, 250
+#: A query's nearest cells that each may give all candidates to be measured, and how many each chunk of another may give.
+NEAR_CELLS, FAR_KEPT = 4, 50
 #: The share of true neighbours that the visited cells are to hold, and the queries at most that it is measured on.
 RECALL, MEASURED = 0.99, 256
 #: Bytes of the sample at most, for long vectors.
@@ -67,11 +72,9 @@ class Index:
 
     def encode(self, x: np.ndarray, cells: np.ndarray, sweeps: int = 2) -> np.ndarray:
         """Codes (rows x pairs) by coordinate descent on the anisotropic loss."""
-        residual, _ = self.residuals(x, cells)
-        length = np.linalg.norm(x, axis=1, keepdims=True)
-        along = x / np.maximum(length, 1e-12)
         n, pairs = len(x), len(self.books)
-        r, u = residual.reshape(n, pairs, 2), along.reshape(n, pairs, 2)
+        # The residual's direction is what is coded and what error is parallel to.
+        r = u = self.residuals(x, cells)[0].reshape(n, pairs, 2)
         codes = np.zeros((n, pairs), np.uint8)
         off = np.zeros(n)
         for m in range(pairs):
@@ -109,7 +112,7 @@ def learn(x: np.ndarray, cells: int, rounds: int = 10, seed: int = 7) -> Index:
             for k in np.unique(near):
                 book[k] = r[near == k, m].mean(0)
         books[m] = book
-    u = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).reshape(len(x), pairs, 2)
+    u = r
     weight = index.eta - 1
     for _ in range(2):
         codes = index.encode(x, own, 1)
@@ -127,18 +130,22 @@ def learn(x: np.ndarray, cells: int, rounds: int = 10, seed: int = 7) -> Index:
     return index
 
 
-def scan(index: Index, packed: np.ndarray, scale: np.ndarray, half: np.ndarray, queries: np.ndarray, centre: np.ndarray) -> np.ndarray:
-    """Approximate scores (queries x rows) of one cell's rows by table lookups: inner product less half the squared length."""
+def scan(index: Index, packed: np.ndarray, scale: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Approximate squared distances (queries x rows), less the queries' own squared lengths, of one cell's rows by table lookups.
+
+    ``queries`` are taken from the cell's centre; ``scale`` has the rows' residuals' lengths.
+    """
     pairs = index.books.shape[0]
     out = np.empty((len(queries), len(packed)), np.float32)
     low, high = np.arange(256) & 15, np.arange(256) >> 4
+    square = (scale * scale).astype(np.float32)
     for k, q in enumerate(queries):
         tables = np.einsum("mkd,md->mk", index.books, q.reshape(pairs, 2)).astype(np.float32)
         total = np.zeros(len(packed), np.float32)
         for b in range(packed.shape[1]):
             two = tables[2 * b][low] + (tables[2 * b + 1][high] if 2 * b + 1 < pairs else 0)
-            total = total + two[packed[:, b]]
-        out[k] = np.float32(q @ centre) - half + scale * total
+            total += two[packed[:, b]]
+        out[k] = square - 2 * scale * total
     return out
 
 
@@ -241,44 +248,72 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         order = np.argsort(_distances(x, shared.value.centres), axis=1, kind="stable")
         held = np.cumsum(counts[order], axis=1)
         visited = np.maximum(probes, (held <= k).sum(1) + 1)
-        query, cell, chunk = [], [], []
+        query, cell, chunk, kept = [], [], [], []
         for row in range(len(x)):
-            for c in order[row, : visited[row]]:
+            for place, c in enumerate(order[row, : visited[row]]):
                 if counts[c]:
                     query += [row] * chunks[c]
                     cell += [c] * chunks[c]
                     chunk += range(chunks[c])
+                    kept += [RERANKED if place < NEAR_CELLS else max(FAR_KEPT, k)] * chunks[c]
         block = batch.column(0).take(pa.array(query)).to_numpy() // every % blocks
-        return pa.table([batch.column(0).take(pa.array(query)), batch.column(1).take(pa.array(query)), pa.array(np.array(cell, np.int32)), pa.array(np.array(chunk, np.int32)), pa.array(block.astype(np.int32))], names=["query_id", "q", "cell", "chunk", "block"])
+        return pa.table([batch.column(0).take(pa.array(query)), batch.column(1).take(pa.array(query)), pa.array(np.array(cell, np.int32)), pa.array(np.array(chunk, np.int32)), pa.array(block.astype(np.int32)), pa.array(np.array(kept, np.int32))], names=["query_id", "q", "cell", "chunk", "block", "kept"])
 
-    asking = map_batches(rows.where(F.col("vec_id") % every == 0), visit, "query_id long, q array<double>, cell int, chunk int, block int")
+    queries = rows.where(F.col("vec_id") % every == 0)
+    asking = map_batches(queries, visit, "query_id long, q array<double>, cell int, chunk int, block int, kept int")
     cut = F.element_at(F.array(*[F.lit(int(c)) for c in chunks]), F.col("cell") + 1)
-    candidates = coded.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), cut).cast("int"))
+    candidates = coded.select("vec_id", "cell", "codes", "scale").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), cut).cast("int"))
     candidates = candidates.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) if blocks > 1 else candidates.withColumn("block", F.lit(0))
 
     def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["query_id", "vec_id", "score"])
-        if not left.num_rows or not right.num_rows:
-            return empty
-        index = shared.value
-        left = left.sort_by("vec_id")  # equal scores then keep the smaller ids
-        ids, x = left["vec_id"].to_numpy(), _matrix(left["v"], dim)
-        packed = np.array([np.frombuffer(c, np.uint8) for c in left["codes"].to_pylist()])
-        half = ((x * x).sum(1) / 2).astype(np.float32)
-        queries, asked_by = _matrix(right["q"], dim), right["query_id"].to_numpy()
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for a in range(0, len(queries), 64):
-            scores = scan(index, packed, left["scale"].to_numpy(), half, queries[a : a + 64], index.centres[key[0].as_py()])
-            for q, name, s in zip(queries[a : a + 64], asked_by[a : a + 64], scores, strict=True):
-                best = np.argsort(-s, kind="stable")[: RERANKED + k]
-                best = best[ids[best] != name]
-                exact = np.sqrt(((x[best] - q) ** 2).sum(1))
-                first = np.lexsort((ids[best], exact))[:k]
-                out.append((np.full(len(first), name), ids[best][first], exact[first]))
-        return pa.table([pa.array(np.concatenate([o[j] for o in out])) for j in range(3)], names=["query_id", "vec_id", "score"])
+        out: list[tuple[int, np.ndarray, np.ndarray]] = []
+        if left.num_rows and right.num_rows:
+            index, cell = shared.value, key[0].as_py()
+            left = left.sort_by("vec_id")  # equal scores then keep the smaller ids
+            ids, scale = left["vec_id"].to_numpy(), left["scale"].to_numpy()
+            packed = np.frombuffer(b"".join(left["codes"].to_pylist()), np.uint8).reshape(len(ids), -1)
+            queries, asked_by, kept = _matrix(right["q"], dim) - index.centres[cell], right["query_id"].to_numpy(), right["kept"].to_numpy()
+            repeats = len(np.unique(ids)) < len(ids)
+            for a in range(0, len(queries), 64):
+                part = slice(a, a + 64)
+                for q, name, most, near in zip(queries[part], asked_by[part], kept[part], scan(index, packed, scale, queries[part]), strict=True):
+                    near[ids == name] = np.inf
+                    if repeats or len(near) <= most:  # rows that repeat an id are one candidate
+                        best = np.argsort(near, kind="stable")
+                        best = best[np.sort(np.unique(ids[best], return_index=True)[1])] if repeats else best
+                    else:
+                        edge = np.partition(near, most - 1)[most - 1]
+                        best = np.flatnonzero(near <= edge)
+                        best = best[np.argsort(near[best], kind="stable")]
+                    best = best[:most]
+                    best = best[np.isfinite(near[best])]
+                    out.append((name, ids[best], (near[best] + q @ q).astype(np.float32)))
+        return lists(out)
+
+    def lists(out: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.Table:
+        ends = pa.array(np.concatenate([[0], np.cumsum([len(i) for _, i, _ in out])]).astype(np.int32))
+        ids, near = (np.concatenate([*(o[j] for o in out), np.empty(0, t)]) for j, t in ((1, np.int64), (2, np.float32)))
+        return pa.table([pa.array([o[0] for o in out], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(ids)), pa.ListArray.from_arrays(ends, pa.array(near))], names=["query_id", "ids", "near"])
+
+    def merge(group: pa.Table) -> pa.Table:
+        """The nearest RERANKED of all that the chunks gave to a query."""
+        ids, near = (np.concatenate([x.flatten().to_numpy() for x in group[c].chunks]) for c in ("ids", "near"))
+        best = np.lexsort((ids, near))
+        best = best[np.sort(np.unique(ids[best], return_index=True)[1])][:RERANKED]
+        return pa.table([pa.array(np.full(len(best), group["query_id"][0].as_py())), pa.array(ids[best])], names=["query_id", "vec_id"])
 
     key = ["cell", "chunk", "block"]
-    found = candidates.groupBy(*key).cogroup(asking.groupBy(*key)).applyInArrow(search, "query_id long, vec_id long, score double")
+    found = candidates.groupBy(*key).cogroup(asking.groupBy(*key)).applyInArrow(search, "query_id long, ids array<long>, near array<float>")
+    # A query's group holds at most RERANKED candidates for each chunk of NEAR_CELLS cells and FAR_KEPT for each other that it visits.
+    found = scratch.write(found.groupBy("query_id").applyInArrow(merge, "query_id long, vec_id long"), "found")
+    # The vectors of candidates meet their queries by id.
+    theirs = found.join(coded.select("vec_id", "v"), "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+
+    def measure(batch: pa.RecordBatch) -> pa.Table:
+        away = _matrix(batch.column(2), dim) - _matrix(batch.column(3), dim)
+        return pa.table([batch.column(0), batch.column(1), pa.array(np.sqrt((away * away).sum(1)))], names=["query_id", "vec_id", "score"])
+
+    found = map_batches(theirs.select("query_id", "vec_id", "v", "q"), measure, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
