@@ -26,7 +26,7 @@ def texts(words, n=700, seed=1):
 @pytest.fixture(scope="module")
 def model(words):
     data = texts(words)
-    return T.fit([t for t, _ in data], [y for _, y in data])
+    return T.fit([T.sentences(t) for t, _ in data], [y for _, y in data])
 
 
 def explicit(word):
@@ -62,11 +62,40 @@ def test_disguises_and_empties(model):
 
 
 def test_learning_without_two_classes():
-    assert (T.fit(["a b", "c d"], [0, 0]).scores(pa.array(["x", None])) < 0.5).all()
-    assert (T.fit(["a b"], [1]).scores(pa.array(["x"])) >= 0.5).all()
+    assert (T.fit([[["a", "b"]], [["c", "d"]]], [0, 0]).scores(pa.array(["x", None])) < 0.5).all()
+    assert (T.fit([[["a", "b"]]], [1]).scores(pa.array(["x"])) >= 0.5).all()
     assert (T.fit([], []).scores(pa.array(["x"])) < 0.5).all()
 
 
+def test_other_scripts(words):
+    rng = random.Random(3)
+    far = {c: chr(0x430 + k) for k, c in enumerate("abcdefghijklmnopqrstuvwxyz")}
+    data = [("".join(far.get(c, c) for c in t), y) for t, y in texts(words, 600, seed=7)]
+    model = T.fit([T.sentences(t) for t, _ in data], [y for _, y in data])
+    insult = "".join(far[c] for c in "idiot")
+    score = model.scores(pa.array([f"x {insult}", insult.upper(), ".".join(insult), "".join(far[c] for c in rng.choice(words))]))
+    assert (score[:3] >= 0.5).all() and score[3] < 0.5
+
+
+def test_scores_equal_the_kernel_expansion(model, words):
+    """A text's decision is the largest of its words', each the sum of its subsequences' weights over the root of its self kernel."""
+    for text in ["you idiot and " + " ".join(words[:5]), words[3], " ".join(words[:30])]:
+        best = max(float((T._maps([w])[:, 0].astype(float) * model.weights).sum()) for w in text.split())
+        assert model.decisions(pa.array([text]))[0] == pytest.approx(best + model.bias, abs=1e-4)
+
+
+def test_long_texts_are_scored_by_pieces(model, words, monkeypatch):
+    rng = random.Random(5)
+    long = [" ".join(rng.choice(words) for _ in range(3000)) for _ in range(3)]
+    long[1] = long[1][:9000] + " idiot " + long[1][9000:]
+    column = pa.array([*long, "short", None, "y" * 30_000])
+    whole = model.decisions(column)
+    monkeypatch.setattr(T, "PIECE", 500)
+    assert np.allclose(model.decisions(column), whole, atol=1e-4)
+    cuts, owner = T.pieces(*T.X.utf8(column))
+    assert len(cuts) == len(owner) + 1 and len(owner) > 30 and (np.diff(cuts) <= 1100).sum() >= len(owner) - 1
+
+
 def test_rows(spark, words):
     data = texts(words, 300)
     docs = spark.createDataFrame([(i, t, "en", "s", 5) for i, (t, _) in enumerate(data)] + [(900, None, None, None, None), (None, "x", None, None, None), (0, data[0][0], None, None, None)], "doc_id long, text string, lang string, source string, score long")

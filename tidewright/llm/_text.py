@@ -160,8 +160,8 @@ def letter_table() -> np.ndarray:
     return table
 
 
-def letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A block's texts as letter_table() has their code points, composed (NFC), and where each begins."""
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of a block's texts, composed (NFC), and where each text begins."""
     raw = data.tobytes()
     try:
         whole = raw.decode("utf-8")
@@ -178,13 +178,13 @@ def letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         if len(full):
             sizes[full] = np.add.reduceat((data & 0xC0) != 0x80, offsets[full], dtype=np.int64)
         places = np.concatenate([[0], np.cumsum(sizes)])
-    codes = np.frombuffer(whole.encode("utf-32-le"), np.uint32) if not whole.isascii() else data
-    return letter_table()[codes], places
+    return np.frombuffer(whole.encode("utf-32-le"), np.uint32) if not whole.isascii() else data, places
 
 
 def letter_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Like word_hashes() for words of letters and digits of any script and case; characters of unspaced scripts are words."""
-    codes, places = letters(data, offsets)
+    codes, places = code_points(data, offsets)
+    codes = letter_table()[codes]
     starts, ends = spans(lambda a, b: codes[a:b] > 0, len(codes), places, lambda a, b: codes[a:b] >= ALONE)
     return span_hashes(codes.astype("<u4"), starts * 4, ends * 4), np.searchsorted(starts, places)
 

@@ -4,11 +4,15 @@ The kernel of two words is the dot product of their subsequences of four
 letters (a word's start counts as one) within a span of SPAN, each weighed
 DECAY to the power of its gaps and counted in one of 2 ** BITS hashed places,
 so that a word with letters inserted still resembles the word that it hides.
-Marks within a word are skipped.  Landmark words give the Nystrom features in which a squared-hinge
-machine is trained.  A sentence decides by its most toxic word and a text by
-its most toxic sentence.  Labels are of texts, so the words to learn are those that
-stand in many places of toxic texts and in almost none of clean ones; rounds of
-training add the words of clean texts that the machine mistakes.
+Marks within a word are skipped.  Landmark words give the Nystrom features in
+which a squared-hinge machine is trained on labelled sentences.
+
+A sentence is known by its most toxic word, a text by its most toxic sentence.
+Labels are of texts, so training is of multiple instances: a clean text labels
+all its sentences, a toxic one only that which the machine of the round before
+finds the most toxic.  The first round's choice goes by words that stand in many
+different places of toxic texts and in almost none of clean ones.  Copies of the
+toxic sentences' words with a mark or letter inserted stand beside them.
 
 Landmarks, projection and weights fold into one table of weights of letter
 subsequences: a text is scored by looking its own up and adding them by word,
@@ -17,8 +21,10 @@ which is the same number as the kernel expansion gives.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import cache
 from zlib import crc32
 
 import numpy as np
@@ -30,33 +36,42 @@ from tidewright.llm import _text as X
 from tidewright.llm._learn import fold, labelled_texts, sample_ids
 from tidewright.llm._spark import map_batches
 
-#: Training texts a class at most, landmarks at most, rounds of training, and words of clean texts used at most.
-QUOTA, LANDMARKS, ROUNDS, CLEAN_WORDS = 2500, 240, 4, 10_000
+#: Training texts a class at most, sentences of a text at most, words of a sentence at most, landmarks at most, rounds of training,
+#: and sentences of clean texts at most that a round is trained on, the ones most like toxic ones and the commonest.
+QUOTA, SENTENCES, WORDS, LANDMARKS, ROUNDS, CLEAN = 2500, 64, 40, 240, 4, 10_000
+#: Longer words teach nothing.
+LONGEST = 40
 #: The largest span of a subsequence, the weight of a gap, and the machine's cost of an error.
 SPAN, DECAY, COST = 6, 0.6, 3.0
 #: Hashed places of subsequences, as a power of two.
 BITS = 17
 #: How much worse it is to accuse a clean text than to miss a toxic one.
 CAUTION = 4.0
+#: Bytes of a text scored at a time.
+PIECE = 1 << 20
 
-#: Symbols: 0 between words, 1-26 letters, 27 anything else, 28 the start of a word, 29 on the accented letters below, a symbol each group.
+#: Symbols: 0 between words, 1-26 letters, 27 anything else, 28 the start of a word, 29 on the accented letters below, a symbol each group, FAR on letters of other scripts.
 ACCENTED = ("àáâãå", "ä", "ç", "è", "é", "êë", "ìíîï", "ñ", "òóôõø", "ö", "ùúû", "ü", "ß", "æ", "ýÿ")
-OTHER, START = 27, 28
-LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz" + "".join(ACCENTED))
-SYMBOLS = 29 + len(ACCENTED)
-_SYMBOL = np.full(256, OTHER, np.uint8)
-_SYMBOL[[9, 10, 11, 12, 13, 32]] = 0
-_SYMBOL[97:123] = np.arange(1, 27)
-_SYMBOL[65:91] = np.arange(1, 27)
-#: By the second byte in UTF-8 of U+00C0 to U+00FF.
-_SECOND = np.full(256, OTHER, np.uint8)
-for _k, _group in enumerate(ACCENTED):
-    for _c in _group:
-        for _x in {_c, _c.upper()} - {"SS", "Ÿ"}:
-            _SECOND[_x.encode()[1]] = 29 + _k
+OTHER, START, FAR, SYMBOLS = 27, 28, 64, 512
 #: Offsets of a subsequence's second, third and fourth letter, and its weight.
 PATTERNS = [(i, j, k, DECAY ** (k - 3)) for k in range(3, SPAN) for i in range(1, k) for j in range(i + 1, k)]
+_ENDS = re.compile(r"[.!?;:|\n]+(?:\s|$)|\n")
+_ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
+
 
+@cache
+def symbol_table() -> np.ndarray:
+    """The symbol of each code point; letters of other scripts share FAR to SYMBOLS - 1 by a hash."""
+    low = X.letter_table() & ~X.ALONE
+    known = np.full(0x110000, OTHER, np.uint16)
+    far = low >= 128
+    known[far] = FAR + (low[far] * _ODD[0] >> np.uint32(16)) % (SYMBOLS - FAR)
+    known[(low >= 97) & (low <= 122)] = low[(low >= 97) & (low <= 122)] - 96
+    for k, group in enumerate(ACCENTED):
+        for c in group:
+            known[low == ord(c)] = 29 + k
+    known[[9, 10, 11, 12, 13, 32, 0x85, 0xA0, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = 0
+    return known
 
 
 def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,13 +80,8 @@ def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     White space between two single letters doesn't part words, so that a word
     set letter by letter is one.
     """
-    s, places = _SYMBOL[data], offsets
-    if len(data) > 1:
-        second = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] < 0xC0)) + 1
-        s[second] = _SECOND[data[second]]
-        keep = np.ones(len(s), bool)
-        keep[second - 1] = False
-        s, places = s[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
+    codes, places = X.code_points(data, offsets)
+    s = symbol_table()[codes]
     edge = np.zeros(len(s) + 1, bool)
     edge[places] = True
     letter = (s > 0) & (s != OTHER)
@@ -80,7 +90,6 @@ def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         alone_before = (gap < 2) | (s[np.maximum(gap - 2, 0)] == 0) | edge[gap - 1]
         alone_after = (gap + 2 >= len(s)) | (s[np.minimum(gap + 2, len(s) - 1)] == 0) | edge[np.minimum(gap + 2, len(s))]
         joined = gap[alone_before & alone_after & ~edge[gap] & ~edge[gap + 1]]
-        s = s.copy()
         s[joined] = OTHER
     solid = s > 0
     start = solid.copy()
@@ -88,12 +97,12 @@ def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     word = np.cumsum(start)
     kept = np.flatnonzero(solid & (s != OTHER))
     if not len(kept):
-        return np.zeros(SPAN, np.uint8), np.zeros((2, 0), np.int64), np.zeros(len(offsets), np.int64)
+        return np.zeros(SPAN, np.uint16), np.zeros((2, 0), np.int64), np.zeros(len(offsets), np.int64)
     opens = np.flatnonzero(np.diff(word[kept], prepend=0))
     order = np.zeros(len(kept), np.int64)
     order[opens] = 1
     at = np.arange(len(kept)) + SPAN * (np.cumsum(order) - 1) + 1
-    out = np.zeros(at[-1] + SPAN, np.uint8)
+    out = np.zeros(at[-1] + SPAN, np.uint16)
     out[at] = s[kept]
     starts = at[opens] - 1
     out[starts] = START
@@ -109,13 +118,14 @@ def self_kernel(length: np.ndarray) -> np.ndarray:
 
 def _places(s: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, float]]:
     """For each kind of subsequence, the hashed place of the one that begins at each symbol, whether it is one, and its weight."""
-    wide, n = s.astype(np.uint32), len(s) - SPAN + 1
+    wide, n = [s * odd for odd in _ODD], len(s) - SPAN + 1
     solid, found = s > 0, []
     # Words stand SPAN apart, so a subsequence with its first and last symbol solid lies in one word.
     inside = {k: solid[:n] & solid[k : n + k] for k in range(3, SPAN)}
     for i, j, k, w in PATTERNS:
-        code = ((wide[:n] * np.uint32(SYMBOLS) + wide[i : n + i]) * np.uint32(SYMBOLS) + wide[j : n + j]) * np.uint32(SYMBOLS) + wide[k : n + k]
-        found.append(((code * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS), inside[k], w))
+        code = wide[0][:n] + wide[1][i : n + i] + wide[2][j : n + j] + wide[3][k : n + k]
+        code = (code ^ (code >> np.uint32(15))) * _ODD[0]
+        found.append((code >> np.uint32(32 - BITS), inside[k], w))
     return found
 
 
@@ -167,6 +177,30 @@ def _kernel(words: list[str], marks: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of pieces of about PIECE bytes of long texts, cut at white space after a word of two bytes or more, and each piece's text."""
+    cuts, owner = [0], []
+    long = np.diff(offsets) > 2 * PIECE
+    if not long.any():
+        return offsets, np.arange(len(offsets) - 1)
+    for row, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        while long[row] and b - a > 2 * PIECE:
+            for width in (4096, b - a - PIECE):
+                window = data[a + PIECE : a + PIECE + width]
+                space = (window == 32) | (window == 10)
+                fit = np.flatnonzero(space[2:] & ~space[1:-1] & ~space[:-2])
+                if len(fit):
+                    break
+            else:
+                break
+            a += PIECE + int(fit[0]) + 2
+            cuts.append(a)
+            owner.append(row)
+        cuts.append(b)
+        owner.append(row)
+    return np.array(cuts, np.int64), np.array(owner, np.int64)
+
+
 @dataclass
 class Model:
     """Weights of places, the machine's bias, and the slope and offset that turn its decisions into probabilities."""
@@ -179,13 +213,16 @@ class Model:
     def decisions(self, column: pa.Array) -> np.ndarray:
         """The largest decision of each text's words; the bias for a text without words."""
         data, offsets = X.utf8(column)
+        cuts, owner = pieces(data, offsets)
         parts = []
-        for a, b in X.blocks(offsets, 1 << 20):
-            s, bounds, first = symbols(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        for a, b in X.blocks(cuts, PIECE):
+            s, bounds, first = symbols(data[cuts[a] : cuts[b]], cuts[a : b + 1] - cuts[a])
             sums = np.concatenate([word_sums(s, bounds, self.weights), [0.0]])
             best = np.maximum.reduceat(sums, np.minimum(first[:-1], len(sums) - 1))
-            parts.append(np.where(np.diff(first) > 0, best, 0.0) + self.bias)
-        return np.concatenate(parts) if parts else np.empty(0)
+            parts.append(np.where(np.diff(first) > 0, best, -np.inf))
+        out = np.full(len(offsets) - 1, -np.inf)
+        np.maximum.at(out, owner, np.concatenate(parts) if parts else np.empty(0))
+        return np.where(np.isfinite(out), out, 0.0) + self.bias
 
     def scores(self, column: pa.Array) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.decisions(column) + self.offset, -40, 40)))
@@ -213,28 +250,47 @@ def disguises(word: str) -> list[str]:
     return [".".join(word), *(f"{word[:k]}.{word[k:]}" for k in inner), *(f"{word[:k]}{'xqzk'[k % 4]}{word[k:]}" for k in inner)]
 
 
-def _contexts(texts: list[str]) -> tuple[Counter, Counter]:
+def sentences(text: str) -> list[list[str]]:
+    """The words of each of a text's sentences in lower case, WORDS at most together; longer words than LONGEST are left out."""
+    out = []
+    for line in _ENDS.split(text.lower()):
+        words = [w for w in line.split() if len(w) <= LONGEST]
+        out += [words[k : k + WORDS] for k in range(0, len(words), WORDS)]
+    return out
+
+
+def _taught(word: str) -> bool:
+    return sum(c.isalpha() for c in word) >= 3
+
+
+def _contexts(bags: list[list[list[str]]]) -> tuple[Counter, Counter]:
     """For each word of three letters or more, the different pairs of neighbours that it has and the texts that it stands in.
 
     Neighbours tell words that stand in many places from those of one passage
     that many texts copy.
     """
     held, seen = Counter(), set()
-    for text in set(texts):
-        words = ["", *text.lower().split(), ""]
-        mine = {w for w in words if sum(c in LETTERS for c in w) >= 3}
-        seen.update(x for x in zip(words, words[1:], words[2:]) if x[1] in mine)  # noqa: B905
-        held.update(mine)
+    for bag in bags:
+        for s in bag:
+            padded = ["", *s, ""]
+            seen.update(x for x in zip(padded, padded[1:], padded[2:]) if _taught(x[1]))  # noqa: B905
+        held.update({w for s in bag for w in s if _taught(w)})
     return Counter(w for _, w, _ in seen), held
 
 
-def fit(texts: list[str], labels: list[int]) -> Model:
-    """Of texts of one class only, a model that gives that class to all."""
+def _witnesses(bags: list[list[list[str]]], score: dict[str, float]) -> list[list[tuple[float, str]]]:
+    """For each text the most toxic word of each sentence, with its score."""
+    return [[max((score[w], w) for w in s if w in score) for s in bag if any(w in score for w in s)] for bag in bags]
+
+
+def fit(texts: list[list[list[str]]], labels: list[int]) -> Model:
+    """A model of texts as sentences of words; of texts of one class only, one that gives that class to all."""
     flat = np.zeros(1 << BITS, np.float32)
     if len(set(labels)) < 2:
         return Model(flat, 0.0, 0.0, 4.0 if set(labels) == {1} else -4.0)
+    joined = [" ".join(w for s in bag for w in s) for bag in texts]
     # Every third text of a class is kept back to set the threshold.
-    order = np.argsort([crc32(t.encode()) for t in texts], kind="stable")
+    order = np.argsort([crc32(t.encode()) for t in joined], kind="stable")
     place = np.empty(len(texts), int)
     for c in (0, 1):
         mine = [k for k in order if labels[k] == c]
@@ -245,37 +301,43 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         taught = np.ones(len(texts), bool)
     else:
         taught = ~back
-    in_toxic, held = _contexts([t for t, y, k in zip(texts, labels, taught, strict=True) if y and k])
-    in_clean, _ = _contexts([t for t, y, k in zip(texts, labels, taught, strict=True) if not y and k])
-    clean = sorted(in_clean, key=lambda w: (-in_clean[w], w))
-    half = CLEAN_WORDS // 2
-    clean = clean[:half] + clean[half :: max(1, (len(clean) - half) // half + 1)]
+    # Texts that repeat are one.
+    bags = [[texts[k] for k in {joined[k]: k for k in np.flatnonzero(taught & (np.array(labels) == c)).tolist()}.values()] for c in (0, 1)]
+    in_toxic, held = _contexts(bags[1])
+    in_clean, _ = _contexts(bags[0])
     least = max(3, sum(k and y for k, y in zip(taught, labels, strict=True)) // 200)
-    chosen = {w: n for w, n in in_toxic.items() if n >= least and 2 * n >= held[w] and in_clean[w] <= n // 50}
-    if not chosen:
+    seeds = {w: n for w, n in in_toxic.items() if n >= least and 2 * n >= held[w] and in_clean[w] <= n // 50}
+    if not seeds:
         return Model(flat, 0.0, 0.0, -4.0)
-    column, truth, common = pa.array([t for t, k in zip(texts, back, strict=True) if k], pa.large_string()), np.array(labels)[back], sorted(in_clean)
+    words = sorted({*in_toxic, *in_clean})
+    score = {w: 1.0 if w in seeds else -2.0 for w in words}
     model = Model(flat, 0.0, 1.0, 0.0)
-    for turn in range(ROUNDS):
-        positive = sorted(chosen, key=lambda w: (-chosen[w], w))
-        negative = [w for w in dict.fromkeys(clean) if w not in chosen]
-        marks = positive[: LANDMARKS // 2] + negative[: LANDMARKS // 2]
+    for _ in range(ROUNDS):
+        # The most toxic sentence of each toxic text, unless none comes near the margin, and the sentences of clean texts.
+        best = Counter(max(found)[1] for found in _witnesses(bags[1], score) if found and max(found)[0] > -1)
+        if not best:
+            break
+        rest = Counter(w for found in _witnesses(bags[0], score) for _, w in found)
+        wrong = sorted((w for w in rest if score[w] > -1), key=lambda w: (-score[w], w))[: CLEAN // 2]
+        common = sorted(rest, key=lambda w: (-rest[w], w))
+        plain = list(dict.fromkeys([*wrong, *sorted(in_clean, key=lambda w: (-in_clean[w], w))[: CLEAN // 4], *common]))[:CLEAN]
+        positive = sorted(best, key=lambda w: (-best[w], w))
+        clear = [w for w in positive if rest[w] * 10 < best[w]]
+        marks = clear[: LANDMARKS // 2] + [w for w in plain if w not in best][: LANDMARKS // 2]
         columns = _maps(marks)
         value, vector = np.linalg.eigh((columns.T @ columns).astype(np.float64))
         good = value > 1e-6 * value.max()
         project = vector[:, good] / np.sqrt(value[good])
-        hidden = [x for w in positive[: LANDMARKS // 2] for x in disguises(w)]
-        sample = positive + hidden + negative
+        hidden = [x for w in clear[: LANDMARKS // 2] for x in disguises(w)]
+        sample = positive + hidden + plain
         n = len(positive) + len(hidden)
         y = np.where(np.arange(len(sample)) < n, 1.0, -1.0)
-        weight = np.concatenate([np.full(len(positive), 20.0), np.full(len(hidden), 4.0), np.ones(len(negative))])
+        # A witness counts as often as it stands for a sentence, damped; sentences of clean texts outvote those of toxic ones that hold the same word.
+        weight = np.concatenate([[20.0 * min(1.0, best[w] / (1 + rest[w])) for w in positive], np.full(len(hidden), 4.0), [1.0 + np.log1p(rest[w]) for w in plain]])
         w, bias = _machine(_kernel(sample, columns) @ project, y, weight, COST)
-        weights = (columns @ (project @ w)).astype(np.float32)
-        model = Model(weights, bias, 1.0, 0.0)
-        if turn + 1 < ROUNDS:
-            # Words of clean texts that the machine mistakes become examples and landmarks.
-            wrong = model.decisions(pa.array(common, pa.large_string()))
-            clean = [common[k] for k in np.argsort(-wrong, kind="stable")[:half] if wrong[k] > -0.7 and common[k] not in chosen] + clean
+        model = Model((columns @ (project @ w)).astype(np.float32), bias, 1.0, 0.0)
+        score = dict(zip(words, model.decisions(pa.array(words, pa.large_string())).tolist(), strict=True))
+    column, truth = pa.array([t for t, k in zip(joined, back, strict=True) if k], pa.large_string()), np.array(labels)[back]
     best = model.decisions(column)
     # The score is one half where clean texts that pass, each counted CAUTION times, and toxic texts that don't are fewest.
     order = np.argsort(best, kind="stable")
@@ -292,18 +354,31 @@ def fit(texts: list[str], labels: list[int]) -> Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held: int = 0, quota: int = QUOTA) -> Model:
-    """Learns from up to ``quota`` labelled texts a class outside the held-out fold."""
+    """Learns from up to ``quota`` labelled ids a class outside the held-out fold, of each text SENTENCES sentences at most, those with the least checksums.
+
+    Null texts, null ids and labels other than 0 and 1 teach nothing; an id with
+    several labels teaches all of them.
+    """
     rows = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & (fold(F.col("doc_id"), folds) != held))
-    found = labelled_texts(docs, sample_ids(rows, "label", [0, 1], quota), id_col, text_col).where("text is not null").select("text", "label").collect()
-    found = sorted((r[1], r[0]) for r in found)
-    return fit([t for _, t in found], [y for y, _ in found])
+    texts = labelled_texts(docs, sample_ids(rows, "label", quota), id_col, text_col).where("text is not null")
+
+    def run(batch: pa.RecordBatch) -> pa.Table:
+        out = []
+        for text in batch.column(1):
+            own = list(dict.fromkeys(" ".join(s) for s in sentences(text.as_py())))
+            out.append(sorted(sorted(own, key=lambda s: (crc32(s.encode()), s))[:SENTENCES]) if len(own) > SENTENCES else own)
+        return pa.table([batch.column(0), pa.array(out, pa.list_(pa.string()))], names=["label", "sentences"])
+
+    # At most SENTENCES sentences of WORDS words of LONGEST characters of each text.
+    found = sorted((r[0], list(r[1])) for r in map_batches(texts.select("label", "text"), run, "label int, sentences array<string>").collect())
+    return fit([[s.split() for s in own] for _, own in found], [y for y, _ in found])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 0) -> DataFrame:
     """One row per input row: doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted (1 if score >= 0.5, else 0).
 
     Null, empty and wordless texts score as a text whose words the kernel finds
-    unlike every landmark.  held_out is null for a null id; repeated rows give
+    unlike every landmark; very long texts are scored a piece at a time.  held_out is null for a null id; repeated rows give
     repeated results; other columns are not read.
     """
 
