@@ -14,35 +14,62 @@ def tables(spark):
     return spark.createDataFrame(docs, "doc_id long, text string, rate string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
-def brute(p, tokens, targets, floor, steps=M.STEPS):
+def brute(p, tokens, targets, floor, ceiling=np.inf):
+    """Projected gradients from one until they are nil; of all least-squares rates those nearest to one are found from there."""
     natural = (tokens[:, None] * p).sum(0)
-    rate = np.full(len(p), max(1.0, floor))
-    for _ in range(steps):
+    rate = np.clip(np.ones(len(p)), floor, ceiling)
+    dual = np.zeros(p.shape[1])
+    start = min(max(1.0, floor), ceiling)
+    for _ in range(200_000):
         slope = np.where(natural > 0, ((tokens * rate)[:, None] * p).sum(0) - targets, 0) / np.where(natural > 0, natural, 1)
-        if abs(slope).max() < 1e-7:
+        if abs(slope).max() < 1e-9:
             break
-        rate = np.maximum(floor, rate - p @ slope)
+        dual += slope
+        rate = np.clip(start - p @ dual, floor, ceiling)
     return rate
 
 
-@pytest.mark.parametrize(("floor", "shares"), [(0.0, None), (1.0, None), (0.0, {"p_q0_t0": 0.05, "p_q1_t0": 0.95})])
-def test_rates_equal_brute_force(tables, floor, shares):
+@pytest.mark.parametrize(("floor", "ceiling", "shares", "kept"), [(0.0, None, None, None), (0.0, 1.0, None, {"p_q1_t0": 0.9, "p_q0_t0": 0.5, "p_q0_t1": 0.5}), (0.5, 3.0, {"p_q0_t0": 0.2, "p_q1_t0": 0.8}, None), (0.0, None, {"p_q0_t0": 0.05, "p_q1_t0": 0.95}, None)])
+def test_rates_equal_brute_force(tables, floor, ceiling, shares, kept):
     docs, labels = tables
-    out = M.mix(docs, labels, floor=floor, shares=shares).toPandas()
+    out = M.mix(docs, labels, floor=floor, ceiling=ceiling, shares=shares, kept=kept).toPandas()
     assert len(out) == docs.count()
     p, tokens, rate = out[M.POSTERIORS].to_numpy(float), out["n_tokens"].to_numpy(float), out["rate"].to_numpy(float)
     assert np.allclose(p.sum(1), 1) and np.allclose(p * 100, np.round(p * 100))
     natural = (tokens[:, None] * p).sum(0)
-    want = np.array([shares.get(k, 0) for k in M.POSTERIORS]) if shares else natural**M.TEMPERATURE
-    want = np.where(natural > 0, want, 0) / np.where(natural > 0, want, 0).sum()
-    total = tokens.sum()
-    if floor:
-        total = max(total, max(floor * n / w for n, w in zip(natural, want, strict=True) if w > 0))
-    assert np.allclose(rate, brute(p, tokens, want * total, floor), atol=1e-6)
-    assert (rate >= floor).all() and (out["copies"] - rate).abs().max() < 1
-    got = ((tokens * rate)[:, None] * p).sum(0)
-    before = abs(((tokens * max(1.0, floor))[:, None] * p).sum(0) - want * total).sum()
-    assert abs(got - want * total).sum() <= before + 1e-6
+    want = natural.copy()
+    if kept:
+        want = natural * [kept.get(k, 1.0) for k in M.POSTERIORS]
+    if shares:
+        want = np.where(natural > 0, [shares.get(k, 0) for k in M.POSTERIORS], 0)
+        want = want / want.sum() * natural.sum()
+    own = brute(p, tokens, want, floor, ceiling or np.inf)
+    error = lambda r: (((((tokens * r)[:, None] * p).sum(0) - want) ** 2)[natural > 0] / natural[natural > 0]).sum()
+    assert error(rate) <= error(own) + 1e-4
+    assert (rate >= floor).all() and (rate <= (ceiling or np.inf)).all() and (out["copies"] - rate).abs().max() < 1
+    if not shares and not kept:
+        assert set(rate) == {1.0}
+
+
+def test_targets_are_met(tables):
+    docs, labels = tables
+    shares = {"p_q1_t0": 0.9, "p_q0_t0": 0.06, "p_q1_t1": 0.02, "p_q0_t1": 0.02}
+    found = {r["domain"]: r for r in M.report(M.mix(docs, labels, shares=shares)).collect()}
+    held = {p: w for p, w in shares.items() if found[p]["natural"] > 0}
+    for p, w in held.items():
+        assert found[p]["share"] == pytest.approx(w / sum(held.values()), rel=0.01)
+
+
+def test_toxic_words_stand_in_many_places(spark):
+    import random
+
+    rng = random.Random(2)
+    plain = [f"w{k}" for k in range(60)]
+    prose = lambda: [rng.choice(plain) for _ in range(30)]
+    docs = [(i, " ".join(prose() + (["Idiot!"] if i % 5 == 0 else []) + (["fine"] if i % 5 else []))) for i in range(300)]
+    docs = [(i, " ".join(rng.sample(t.split(), len(t.split())))) for i, t in docs] + [(1000 + k, "a passage that is copied often") for k in range(40)]
+    labels = [(i, 1, int(i % 5 == 0)) for i in range(300)] + [(1000 + k, 1, 1) for k in range(40)]
+    assert M.toxic_words(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), "doc_id", "text") == ["idiot"]
 
 
 def nnls(a, b):
@@ -80,7 +107,7 @@ def test_hard_targets_reach_the_least_squares(spark, floor):
     assert want > 1 and got == pytest.approx(want, rel=1e-6)
     assert out["rate"].min() >= floor
     with pytest.raises(ArithmeticError):
-        M.fit_rates(cells, targets.tolist(), floor, steps=3)
+        M.fit_rates(cells, targets.tolist(), floor, steps=2)
 
 
 def test_the_classifier_tells_domains_apart(tables):
@@ -91,9 +118,14 @@ def test_the_classifier_tells_domains_apart(tables):
 
 def test_rows_are_repeated_not_lost(tables):
     docs, labels = tables
-    out = M.apply_mix(docs, labels, floor=1.0)
+    shares = {"p_q0_t0": 0.5, "p_q1_t0": 0.5}
+    out = M.apply_mix(docs, labels, floor=1.0, shares=shares, tokens=10_000)
     assert out.columns == docs.columns
     assert {r["doc_id"] for r in out.select("doc_id").collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()}
+    copies = sum(r["copies"] for r in M.mix(docs, labels, floor=1.0, shares=shares, tokens=10_000).collect())
+    assert out.count() == copies > docs.count()
+    thinned = M.apply_mix(docs, labels, kept={"p_q0_t0": 0.3, "p_q0_t1": 0.3}, ceiling=1.0)
+    assert thinned.count() < docs.count() and thinned.count() == thinned.distinct().count()
 
 
 def test_nothing_to_learn_or_mix(tables):

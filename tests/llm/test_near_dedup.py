@@ -137,3 +137,10 @@ def test_letters_of_all_scripts(monkeypatch):
         monkeypatch.setattr(X, "WINDOW", window)
         hashes, first = X.letter_hashes(*utf8(__import__("pyarrow").array(texts)))
         assert first.tolist() == [0, 10, 20, 20] and hashes[:10].tolist() == hashes[10:].tolist()
+
+
+def test_repeated_rows_and_null_ids_leave_one(spark):
+    text, other = "a passage of some eight or nine words here", "quite another passage that has nothing to do with it"
+    rows = [(1, text, "x"), (1, text, "x"), (2, text, "x"), (None, other, "y"), (None, other, "y"), (None, text + " again and again", "z"), (3, other + " at all, is there one", "w")]
+    out = near_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, gone string"))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted({rows[0], rows[3], rows[5], rows[6]}, key=str)

@@ -219,7 +219,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without those that near_duplicates() does not keep; all columns stay as they are."""
-    mark = fresh(docs, "gone")
+    """The rows of ``docs`` without those that near_duplicates() does not keep; all columns stay as they are.
+
+    Of rows that repeat an id and a text one stays, null ids among them; an id
+    with several texts keeps one row of each if it is kept.
+    """
+    mark, key = fresh(docs, "gone"), F.col(id_col).cast("long")
     gone = near_duplicates(docs, id_col, text_col, **options).where(~F.col("kept")).select(F.col("doc_id").alias(mark))
-    return docs.join(gone.distinct(), F.col(id_col).cast("long") == F.col(mark), "left_anti")
+    out = docs.join(gone.distinct(), key == F.col(mark), "left_anti")
+    scratch = Scratch(docs.sparkSession)
+    twice = scratch.write(docs.groupBy(key.alias(mark)).count().where("count > 1").select(mark), "twice")
+    if twice.isEmpty():
+        return out
+    same = key.eqNullSafe(F.col(mark))
+    return out.join(twice, same, "left_anti").union(out.join(twice, same, "left_semi").dropDuplicates([id_col, text_col]))

@@ -48,7 +48,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), shares=mixing.SHARES)
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
