@@ -29,8 +29,8 @@ def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated to the target mix; with a floor of one copy no document is lost."""
-    return mixing.apply_mix(docs, table(spark, sf_dir, "labels"), floor=1.0)
+    """Documents thinned to what mixing.KEPT says of each domain; none is repeated, and clean good ones stay."""
+    return mixing.apply_mix(docs, table(spark, sf_dir, "labels"), kept=mixing.KEPT, ceiling=1.0)
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
