@@ -30,14 +30,14 @@ from tidewright.llm._spark import Scratch
 DOMAINS = ((0, 0), (0, 1), (1, 0), (1, 1))
 POSTERIORS = [f"p_q{q}_t{t}" for q, t in DOMAINS]
 FEATURES = ["f_upper", "f_marks", "f_distinct", "f_length", "f_insults"]
-#: Labelled ids a class that teach toxic words at most, and such words at most.
-WORD_QUOTA, WORDS = 4000, 200
+#: Labelled ids a domain that the classifier learns from at most, and toxic words at most.
+QUOTA, WORDS = 4000, 200
 #: A toxic word stands in this many toxic texts and in this share of them at least, and in so many times the share of clean texts.
 LEAST_TEXTS, LEAST_SHARE, LIFT = 4, 0.01, 8.0
 #: Aggregations of a fit at most; one that needs more is an error.
 STEPS = 400
 #: The weights of the rates' distance from one in turn, and the projected gradient left at most, as a share of the largest rate.
-EASES, TOLERANCE = (1e-2, 1e-4, 1e-6, 1e-8), 1e-7
+EASES, TOLERANCE = tuple(10.0**-k for k in range(2, 9)), 1e-7
 #: Target shares of a corpus for training: mostly good clean text, some of the rest so that a model has met it.
 SHARES = {"p_q1_t0": 0.9, "p_q0_t0": 0.07, "p_q1_t1": 0.02, "p_q0_t1": 0.01}
 #: What to keep of each domain where a corpus is thinned and nothing is repeated.
@@ -49,13 +49,11 @@ def words_of(text: Column) -> Column:
     return F.split(F.lower(text), r"[\x20\x09-\x0D.,;:!?\"()]+")
 
 
-def toxic_words(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> list[str]:
-    """At most WORDS words that tell toxic labelled texts from clean ones, from WORD_QUOTA ids a class at most.
+def toxic_words(texts: DataFrame) -> list[str]:
+    """At most WORDS words that tell toxic texts (label 1) from clean ones (0); ``texts`` has doc_id, label and text.
 
     Of more, those in the most toxic texts, then the first in order.
     """
-    rows = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
-    texts = labelled_texts(docs, sample_ids(rows, "label", WORD_QUOTA), id_col, text_col).where("text is not null")
     words = words_of(F.col("text"))
     pairs = F.arrays_zip(F.concat(F.array(F.lit("")), words).alias("before"), words.alias("word"))
     found = texts.select("doc_id", "label", F.explode(pairs).alias("x")).select("doc_id", "label", "x.before", "x.word").where("word <> ''")
@@ -93,16 +91,22 @@ def _domain() -> Column:
     return reduce(lambda e, k: e.when((F.col("quality") == DOMAINS[k][0]) & (F.col("toxic") == DOMAINS[k][1]), k), range(len(DOMAINS)), F.when(F.lit(False), 0))
 
 
-def learn(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> dict[int, dict]:
-    """Counts, means and variances of the statistics by domain.
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], dict[int, dict]]:
+    """The toxic words, and the counts of labelled ids, means and variances of the statistics by domain.
 
-    Rows of labels with a null id, or null or other values than 0 and 1, teach
-    nothing.
+    Words and moments are those of up to QUOTA ids a domain.  Rows of labels
+    with a null id, or null or other values than 0 and 1, teach nothing; an id
+    with several labels teaches all of them.
     """
-    taught = labels.select(F.col(id_col).cast("long").alias("doc_id"), _domain().alias("domain")).where("domain is not null").dropDuplicates()
-    moments = [f(x).alias(f"{f.__name__}_{x}") for x in FEATURES for f in (F.avg, F.var_pop)]
+    scratch = Scratch(docs.sparkSession)
+    taught = labels.select(F.col(id_col).cast("long").alias("doc_id"), _domain().alias("label")).where("label is not null and doc_id is not null").distinct()
     # Four rows at most.
-    return {r["domain"]: r.asDict() for r in rows.join(taught, "doc_id").groupBy("domain").agg(F.count("*").alias("n"), *moments).collect()}
+    counts = dict(tuple(r) for r in taught.groupBy("label").count().collect())
+    texts = scratch.write(labelled_texts(docs, sample_ids(taught, "label", QUOTA), id_col, text_col), "taught")
+    words = toxic_words(texts.select("doc_id", F.col("label").isin(*[k for k, (_, toxic) in enumerate(DOMAINS) if toxic]).cast("int").alias("label"), "text").where("text is not null"))
+    moments = [f(x).alias(f"{f.__name__}_{x}") for x in FEATURES for f in (F.avg, F.var_pop)]
+    found = statistics(texts, "doc_id", "text", words, (F.col("label"),)).groupBy("label").agg(*moments).collect()
+    return words, {r["label"]: {"n": counts[r["label"]], **r.asDict()} for r in found}
 
 
 def posteriors(rows: DataFrame, found: dict[int, dict]) -> DataFrame:
@@ -138,12 +142,25 @@ def posteriors(rows: DataFrame, found: dict[int, dict]) -> DataFrame:
     return rows.select(*[c for c in rows.columns if not c.startswith(("_l", "_e", "_h"))], *out)
 
 
+def _start(floor: float, ceiling: float | None) -> float:
+    return max(1.0, floor) if ceiling is None else min(max(1.0, floor), ceiling)
+
+
+def _held(z: Column, floor: float, ceiling: float | None) -> Column:
+    low = F.greatest(F.lit(float(floor)), z)
+    return low if ceiling is None else F.least(F.lit(float(ceiling)), low)
+
+
 def rate(multipliers: np.ndarray, floor: float, ceiling: float | None) -> Column:
     """The rate of a row with POSTERIORS."""
-    start = max(1.0, floor) if ceiling is None else min(max(1.0, floor), ceiling)
-    z = F.lit(float(start)) - reduce(Column.__add__, [F.col(p) * float(m) for p, m in zip(POSTERIORS, multipliers, strict=True)])
-    z = F.greatest(F.lit(float(floor)), z)
-    return z if ceiling is None else F.least(F.lit(float(ceiling)), z)
+    dot = reduce(Column.__add__, [F.col(p) * float(m) for p, m in zip(POSTERIORS, multipliers, strict=True)])
+    return _held(F.lit(float(_start(floor, ceiling))) - dot, floor, ceiling)
+
+
+def _dot(numbers: np.ndarray) -> Column:
+    """The product of POSTERIORS and numbers, as data rather than code: the steps of a fit then share their generated classes."""
+    pairs = F.zip_with(F.array(*POSTERIORS), F.array(*[F.lit(float(x)) for x in numbers]), lambda x, y: x * y)
+    return F.aggregate(pairs, F.lit(0.0), lambda a, b: a + b)
 
 
 def solve(cells: DataFrame, targets: list[float], floor: float, ceiling: float | None = None, steps: int = STEPS) -> np.ndarray:
@@ -156,7 +173,7 @@ def solve(cells: DataFrame, targets: list[float], floor: float, ceiling: float |
     low, high, k = float(floor), float("inf") if ceiling is None else float(ceiling), len(POSTERIORS)
     if low > high:
         raise ValueError("the floor is above the ceiling")
-    start = min(max(1.0, low), high)
+    start = _start(low, ceiling)
     upper = [(i, j) for i in range(k) for j in range(i, k)]
     want, left = np.array(targets, float), steps
 
@@ -165,8 +182,7 @@ def solve(cells: DataFrame, targets: list[float], floor: float, ceiling: float |
         nonlocal left
         if (left := left - 1) < 0:
             raise ArithmeticError(f"rates of the mix haven't converged in {steps} steps")
-        z = F.lit(start) - reduce(Column.__add__, [F.col(p) * float(m) for p, m in zip(POSTERIORS, multipliers, strict=True)])
-        rows = cells.withColumn("z", z).withColumn("r", rate(multipliers, floor, ceiling))
+        rows = cells.withColumn("z", F.lit(start) - _dot(multipliers)).withColumn("r", _held(F.col("z"), low, ceiling))
         rows = rows.withColumn("m", F.col("tokens") * F.col("r")).withColumn("a", F.when((F.col("z") >= low) & (F.col("z") <= high), F.col("tokens")).otherwise(0.0))
         integral = F.when(F.col("z") == F.col("r"), F.col("z") * F.col("z") / 2).otherwise((F.col("z") - F.col("r") / 2) * F.col("r")) * F.col("tokens")
         sums = [*(F.col("m") * F.col(p) for p in POSTERIORS), *(F.col("a") * F.col(POSTERIORS[i]) * F.col(POSTERIORS[j]) for i, j in upper), integral]
@@ -198,10 +214,9 @@ def solve(cells: DataFrame, targets: list[float], floor: float, ceiling: float |
                 break  # as near as doubles go; the projected gradient decides
             at, now = at + step, new
     slope = np.where(natural > 0, (now[0] - want) / scale, 0.0)
-    descent = reduce(Column.__add__, [F.col(p) * float(x) for p, x in zip(POSTERIORS, slope, strict=True)])
-    held = F.greatest(F.lit(low), F.col("r") - descent)
-    move = F.abs(F.col("r") - (held if ceiling is None else F.least(F.lit(high), held)))
-    far, most = cells.withColumn("r", rate(at, floor, ceiling)).agg(F.max(move), F.max("r")).first()
+    rows = cells.withColumn("r", _held(F.lit(start) - _dot(at), low, ceiling))
+    move = F.abs(F.col("r") - _held(F.col("r") - _dot(slope), low, ceiling))
+    far, most = rows.agg(F.max(move), F.max("r")).first()
     if far is not None and far > TOLERANCE * max(1.0, most):
         raise ArithmeticError(f"rates of the mix have a projected gradient of {far:.3g}")
     return at
@@ -229,13 +244,13 @@ def targets_of(natural: list[float], shares: dict[str, float] | None, kept: dict
 def _rated(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, shares: dict[str, float] | None, kept: dict[str, float] | None, tokens: float | None, floor: float, ceiling: float | None, carried: tuple[Column, ...] = ()) -> DataFrame:
     """Every row's posteriors, rate and copies, and the carried columns."""
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.write(statistics(docs, id_col, text_col, toxic_words(docs, labels, id_col, text_col), carried), "statistics")
-    rows = posteriors(rows, learn(rows, labels, id_col)).drop(*FEATURES)
+    words, found = learn(docs, labels, id_col, text_col)
+    rows = scratch.write(posteriors(statistics(docs, id_col, text_col, words, carried), found).drop(*FEATURES), "posteriors")
     # At most one row for each point of the grid of hundredths.
     cells = scratch.write(rows.groupBy(*POSTERIORS).agg(F.sum("n_tokens").cast("double").alias("tokens")).repartition(1), "cells")
     natural = [x or 0.0 for x in cells.agg(*[F.sum(F.col("tokens") * F.col(p)) for p in POSTERIORS]).first()]
-    found = solve(cells, targets_of(natural, shares, kept, tokens), floor, ceiling)
-    return rows.withColumn("rate", rate(found, floor, ceiling)).withColumn("copies", _copies())
+    multipliers = solve(cells, targets_of(natural, shares, kept, tokens), floor, ceiling)
+    return rows.withColumn("rate", rate(multipliers, floor, ceiling)).withColumn("copies", _copies())
 
 
 def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", shares: dict[str, float] | None = None, kept: dict[str, float] | None = None, tokens: float | None = None, floor: float = 0.0, ceiling: float | None = None) -> DataFrame:
