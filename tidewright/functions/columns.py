@@ -316,7 +316,7 @@ def aggregate(e: Agg, c: Compiler) -> Column:
         return F.count(x)
     if e.name in ("sum", "avg"):
         if isinstance(kind, T.StringType):
-            x = F.try_to_number(x, F.lit("999999999999999999.999999999")).cast("double")
+            x = F.when(x.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"), x.try_cast("double"))
         elif isinstance(kind, T.BooleanType):
             x = x.cast("long")
         elif not isinstance(kind, (*_NUMBER, T.NullType)):

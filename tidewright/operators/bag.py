@@ -63,8 +63,9 @@ def distinct(bag: DataFrame, by: list[str] | None = None, order: list[str] | Non
     rest = [c for c in values(bag) if c not in by]
     if not rest:
         return summed.withColumn(M, F.lit(1).cast("long"))
-    first = Window.partitionBy(*by).orderBy(*(order or rest))
-    return summed.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n").withColumn(M, F.lit(1).cast("long"))
+    ranked = list(dict.fromkeys([*(order or ()), *rest]))
+    first = F.min_by(F.struct(*rest), F.struct(*ranked))
+    return summed.groupBy(*by).agg(first.alias("__first")).select(*[c if c in by else F.col("__first")[c].alias(c) for c in values(bag)], F.lit(1).cast("long").alias(M))
 
 
 def join(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:

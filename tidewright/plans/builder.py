@@ -9,10 +9,10 @@ from typing import Any
 from pyspark.sql import DataFrame
 
 from tidewright.errors import DistinctError, GroupError, JoinError, OrderError, QueryError, SourceError, WhereError
-from tidewright.plans.ir import SELECTED, Case, Expr, Func, Include, Join, Order, Plan, Ref, Rows, Table, aggregates, expr, walk
+from tidewright.plans.ir import SELECTED, UNION, Case, Expr, Func, Include, Join, Order, Plan, Ref, Rows, Table, aggregates, expr, walk
 
 JOIN_KINDS = ("inner", "left", "right", "full")
-RESERVED = (SELECTED, "__proto__", "prototype", "constructor")
+RESERVED = (SELECTED,)
 
 
 def _source(x: Any) -> Any:
@@ -63,9 +63,11 @@ class Query:
         if not callable(f):
             raise QueryError("a callback of the rows in scope is asked for")
         names = self.plan.aliases
-        if self.plan.kind == "union_queries":
-            names = ()
-        return f(Rows(names))
+        return f(self._rows(names))
+
+    def _rows(self, names: tuple[str, ...]) -> Rows:
+        """The scope of a callback; behind a union of queries the branches' fields stand in it by their own names."""
+        return Rows(names, UNION if self.plan.kind == "union_queries" else None)
 
     # sources
 
@@ -103,10 +105,10 @@ class Query:
         ((alias, s),) = source.items()
         if alias in self.plan.aliases:
             raise SourceError(f"the alias {alias!r} is taken")
-        if not self.plan.sources:
+        if not self.plan.sources and not self.plan.branches:
             raise SourceError("a join needs a FROM before it")
         before = self.plan.aliases
-        condition = on(Rows((*before, _alias(alias))))
+        condition = on(self._rows((*before, _alias(alias))))
         if not (isinstance(condition, Func) and condition.name == "eq"):
             raise JoinError("a join's condition is one eq()")
         sides = []

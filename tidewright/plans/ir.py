@@ -12,6 +12,8 @@ from tidewright.errors import FunctionError, WhereError
 
 #: The alias under which a query's own output is referred to.
 SELECTED = "selected"
+#: The alias of the rows of a union of queries, whose fields callbacks name alone.
+UNION = "__all"
 
 
 @dataclass(frozen=True, eq=False)
@@ -92,11 +94,15 @@ class Rows:
     """Namespace that callbacks get: one attribute an alias, and ``selected`` for the output."""
 
     aliases: tuple[str, ...]
+    #: An alias whose fields go by their names alone.
+    bare: str | None = None
 
     def __getattr__(self, name: str) -> Ref:
         if name.startswith("__"):
             raise AttributeError(name)
         if name not in self.aliases and name != SELECTED:
+            if self.bare:
+                return Ref(self.bare, (name,))
             from tidewright.errors import UnknownNameError
 
             raise UnknownNameError(f"no source is called {name!r}; there are {', '.join(self.aliases)}")

@@ -24,7 +24,7 @@ from tidewright.errors import FunctionError, GroupError, IncludeError, QueryErro
 from tidewright.functions.columns import PRESENT, Compiler, aggregate, quoted
 from tidewright.operators.ordering import sort_column
 from tidewright.plans.builder import Query
-from tidewright.plans.ir import SELECTED, Agg, Case, Expr, Func, Include, Order, Plan, Ref, Table, aggregates, conjuncts, replace, walk
+from tidewright.plans.ir import SELECTED, UNION, Agg, Case, Expr, Func, Include, Order, Plan, Ref, Table, aggregates, conjuncts, replace, walk
 
 
 @dataclass
@@ -80,6 +80,12 @@ def _sources(p: Plan) -> Scope:
     return Scope(frame, (alias,), keys)
 
 
+def _branches(p: Plan) -> Scope:
+    """The rows of a union of queries; a field that a branch lacks is null there."""
+    frame = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [to_df(b) for b in p.branches])
+    return Scope(_struct(frame, UNION), (UNION,), [quoted(UNION, c) for c in frame.columns if _orderable(frame.schema[c].dataType)])
+
+
 def _joined(scope: Scope, p: Plan) -> Scope:
     for j in p.joins:
         other, keys = _source(j.alias, j.source)
@@ -129,15 +135,8 @@ def _planned(p: Plan, correlated: tuple[Expr, ...], context: DataFrame | None =
     Without ``correlated`` there are neither, and rows are in order.
     """
     if p.kind == "union_queries":
-        if p.joins or p.where or p.group_by:
-            raise SourceError("filter or group the branches of union_all, or wrap it in from_")
-        frames = [to_df(Query(Plan(**{**b.plan.__dict__}))) for b in p.branches]
-        frame = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-        scope = Scope(_struct(frame, "__all"), ("__all",), [quoted("__all", c) for c in frame.columns if _orderable(frame.schema[c].dataType)])
-        if p.select is None:
-            p = Plan(**{**p.__dict__, "select": {c: Ref("__all", (c,)) for c in frame.columns}})
-        return _finish(scope, p, correlated)
-    if (anti := _antijoin(p)) is not None:
+        scope = _joined(_branches(p), p)
+    elif (anti := _antijoin(p)) is not None:
         j = anti.extra["anti"]
         scope = _joined(_sources(anti), anti)
         other, _ = _source(j.alias, j.source)
@@ -174,6 +173,8 @@ def _fields(select: Any, scope: Scope) -> dict[str, Any]:
         return {n: Ref(alias, (n,)) for n in scope.frame.schema[alias].dataType.fieldNames() if not n.startswith("__")}
 
     if select is None:
+        if scope.aliases[0] == UNION:
+            return row(UNION) | {a: Ref(a) for a in scope.aliases[1:]}
         return row(scope.aliases[0]) if len(scope.aliases) == 1 else {a: Ref(a) for a in scope.aliases}
     if isinstance(select, Ref) and not select.path and select.alias != SELECTED:
         return row(select.alias)
@@ -213,8 +214,25 @@ def _finish(scope: Scope, p: Plan, correlated: tuple[Expr, ...], swap_parent: di
     names = list(scope.carried) or [f"__p{k}" for k in range(len(correlated))]
 
     if p.fn_select:
+        if names:
+            raise IncludeError("fn_select can't stand in a nested query")
         frame = _python_select(scope.frame, *p.fn_select)
-        return _ordered(frame, p, [], [quoted(c) for c in frame.columns if _orderable(frame.schema[c].dataType)], frame.columns, ())
+        for f in p.fn_having:
+            frame = _python_filter(frame, f)
+        if p.distinct:
+            frame = frame.dropDuplicates()
+
+        def output(e: Expr) -> Column | None:
+            """What comes after fn_select sees its output only, under selected."""
+            if isinstance(e, Ref):
+                if e.alias != SELECTED or not e.path or e.path[0] not in frame.columns:
+                    raise QueryError(f"{'.'.join((e.alias, *e.path))} is not in the output of fn_select")
+                return quoted(*e.path)
+            return None
+
+        after = Compiler(frame, (), output)
+        orders = [(sort_column(o.expr, after, o, _default_sort(p)), o) for o in p.order_by]
+        return _ordered(frame, p, orders, [quoted(c) for c in frame.columns if _orderable(frame.schema[c].dataType)], frame.columns, ())
     if p.group_by or aggs:
         frame, orders, ties = _grouped(scope, p, fields, aggs, carried, names, ck)
     else:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,10 +16,10 @@ from tidewright import sources
 from tidewright.operators import bag
 from tidewright.operators.ordering import Pages, keyset_after, sort_columns
 from tidewright.plans.builder import Query
-from tidewright.plans.ir import Ref, Table
+from tidewright.plans.ir import Order, Ref, Table
 from tidewright.plans.predicates import Subset
 from tidewright.streaming import cdc
-from tidewright.streaming.live import LiveQuery
+from tidewright.streaming.live import Effect, LiveQuery, LiveSet
 
 KEYS = {
     "region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"],
@@ -294,21 +296,29 @@ def topk_per_group(t: Tables) -> DataFrame:
     return bag.top_k(t.df("orders"), [F.desc("o_totalprice"), F.col("o_orderkey")], 3, 1, ["o_custkey"], "place").select("o_custkey", "o_orderkey", F.col("place").cast("long").alias("place"))
 
 
-@query("order_nulls", "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l USING (doc_id) ORDER BY l.quality DESC NULLS LAST, d.doc_id LIMIT 500")
-def order_nulls(t: Tables) -> Query:
-    return (src(d=t.documents).left_join({"l": t.labels}, lambda r: f.eq(r.d.doc_id, r.l.doc_id)).select(lambda r: {"doc_id": r.d.doc_id, "quality": r.l.quality})
-            .order_by(lambda r: r.l.quality, "desc", nulls="last").order_by(lambda r: r.d.doc_id).limit(500))
+def _placed(direction: str, nulls: str):
+    def build(t: Tables) -> DataFrame:
+        q = (src(d=t.documents).left_join({"l": t.labels}, lambda r: f.eq(r.d.doc_id, r.l.doc_id)).select(lambda r: {"doc_id": r.d.doc_id, "quality": r.l.quality})
+             .order_by(lambda r: r.l.quality, direction, nulls=nulls).order_by(lambda r: r.d.doc_id))
+        keys = sort_columns([("quality", direction == "desc", nulls), ("doc_id", False, "first")])
+        return bag.top_k(q.to_df(), keys, index="place")
 
+    return build
 
-@query("order_nulls_first", "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l USING (doc_id) ORDER BY l.quality DESC NULLS FIRST, d.doc_id LIMIT 700")
-def order_nulls_first(t: Tables) -> Query:
-    return (src(d=t.documents).left_join({"l": t.labels}, lambda r: f.eq(r.d.doc_id, r.l.doc_id)).select(lambda r: {"doc_id": r.d.doc_id, "quality": r.l.quality})
-            .order_by(lambda r: r.l.quality, "desc").order_by(lambda r: r.d.doc_id).limit(700))
 
+for _name, _direction, _nulls in (("order_nulls", "desc", "last"), ("order_nulls_first", "desc", "first"), ("order_nulls_asc", "asc", "last")):
+    query(_name, f"""SELECT d.doc_id, l.quality, row_number() OVER (ORDER BY l.quality {_direction} NULLS {_nulls}, d.doc_id) - 1 AS place
+      FROM documents d LEFT JOIN labels l USING (doc_id)""")(_placed(_direction, _nulls))
 
-@query("order_collated", "SELECT s_suppkey, s_name FROM supplier ORDER BY lower(s_name), s_name, s_suppkey LIMIT 30")
-def order_collated(t: Tables) -> Query:
-    return src(s=t.supplier).select(lambda r: {"s_suppkey": r.s.s_suppkey, "s_name": r.s.s_name}).order_by(lambda r: r.s.s_name, string_sort="locale").limit(30)
+
+@query("order_collated", """SELECT k, name, row_number() OVER (ORDER BY lower(name)) AS place FROM (
+  SELECT s_suppkey AS k, CASE WHEN s_suppkey % 2 = 0 THEN lower(s_name) ELSE upper(s_name) END || ' of ' || s_nationkey AS name FROM supplier) ORDER BY lower(name) LIMIT 60""")
+def order_collated(t: Tables) -> DataFrame:
+    """Names whose cases alternate: by code point all upper-case ones would come first."""
+    name = F.concat(F.when(F.col("s_suppkey") % 2 == 0, F.lower("s_name")).otherwise(F.upper("s_name")), F.lit(" of "), F.col("s_nationkey").cast("string"))
+    named = Table(t.df("supplier").select(F.col("s_suppkey").alias("k"), name.alias("name")), ("k",))
+    out = src(s=named).select(lambda r: {"k": r.s.k, "name": r.s.name}).order_by(lambda r: r.s.name, string_sort="locale").limit(60).to_df()
+    return out.select("k", "name", F.row_number().over(Window.orderBy(F.lower("name"))).cast("long").alias("place"))
 
 
 @query("order_aggregate", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 ORDER BY sum(o_totalprice) DESC, o_custkey LIMIT 20")
@@ -596,12 +606,12 @@ def live_incremental_agg(t: Tables) -> DataFrame:
     return live.df()
 
 
-@query("tx_log_pull", "SELECT event_id, value FROM events WHERE event_id < 1500 AND event_id >= 500")
+@query("tx_log_pull", "SELECT event_id, value FROM events WHERE event_id % 3 <> 0")
 def tx_log_pull(t: Tables) -> DataFrame:
     log = sources.TxLog(t.spark, f"{sources.shared_dir(t.spark)}/log-{uuid.uuid4().hex}", ["event_id"])
     rows = t.df("events").select("event_id", "value").withColumn("type", F.lit("insert"))
-    for low, high in ((0, 500), (500, 1000), (1000, 1500)):
-        log.append(rows.where(f"event_id >= {low} and event_id < {high}"))
+    for part in range(3):
+        log.append(rows.where(f"event_id % 3 = {part}"))
     return log.pull_since(1)[1].select("event_id", "value")
 
 
@@ -636,9 +646,14 @@ def live_stream_agg(t: Tables) -> DataFrame:
   FULL JOIN (SELECT user_id, sum(value) AS v FROM events WHERE user_id % 3 <> 1 GROUP BY 1) a ON a.user_id = b.user_id
   WHERE a.v IS DISTINCT FROM b.v) GROUP BY 1, 2""")
 def effects_batches(t: Tables) -> DataFrame:
-    e = t.df("events")
+    """An effect over two states of a result; what its handlers got is counted."""
+    e, seen = t.df("events"), []
     states = [e.where(c).groupBy("user_id").agg(F.sum("value").alias("v")) for c in ("event_id % 2 = 0 and user_id % 3 <> 0", "user_id % 3 <> 1")]
-    return cdc.diff(*states, ["user_id"]).groupBy("event").agg(F.count("*").alias("n")).select(F.lit(1).alias("batch"), "event", "n")
+    state = sources.VersionedTable(t.spark, f"{sources.shared_dir(t.spark)}/effect-{uuid.uuid4().hex}")
+    effect = Effect(state, ["user_id"], *[seen.append] * 3, skip_initial=True)
+    for n, now in enumerate(states):
+        effect.run(now, n)
+    return reduce(DataFrame.unionByName, seen).groupBy("event").agg(F.count("*").alias("n")).select(F.lit(state.batch).alias("batch"), "event", "n")
 
 
 @query("include_conditional", """SELECT c_custkey, CASE WHEN c_acctbal > 5000 THEN (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) END AS n FROM customer""")
@@ -691,3 +706,249 @@ def upsert_merge(t: Tables) -> DataFrame:
     third = s.where("s_suppkey % 3 = 0")
     rows = third.selectExpr("s_suppkey", "s_acctbal + 1 as s_acctbal").unionByName(third.selectExpr("s_suppkey + 1000000 as s_suppkey", "0.0D as s_acctbal"))
     return sources.upsert(store, rows, ["s_suppkey"], (F.col("s_suppkey") < 1000000) & (F.col("s_suppkey") % 2 == 1))
+
+
+# bags, one operator each
+
+
+@query("bag_map", "SELECT o_custkey AS k, o_totalprice * 2 AS twice FROM orders")
+def bag_map(t: Tables) -> DataFrame:
+    return bag.expand(bag.map_(bag.lift(t.df("orders")), k=F.col("o_custkey"), twice=F.col("o_totalprice") * 2))
+
+
+@query("bag_filter", "SELECT o_orderkey FROM orders WHERE o_totalprice > 150000 AND o_orderstatus = 'F'")
+def bag_filter(t: Tables) -> DataFrame:
+    return bag.expand(bag.map_(bag.filter_(bag.lift(t.df("orders")), (F.col("o_totalprice") > 150000) & (F.col("o_orderstatus") == "F")), o_orderkey=F.col("o_orderkey")))
+
+
+def _bag_join(how: str):
+    def build(t: Tables) -> DataFrame:
+        people = bag.lift(t.df("customer").where("c_acctbal > 2000").select(F.col("c_custkey").alias("k"), "c_name"))
+        bought = bag.lift(t.df("orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("k"), "o_orderkey"))
+        return bag.expand(bag.join(people, bought, ["k"], how)).select("k", "c_name", "o_orderkey")
+
+    return build
+
+
+for _how in ("inner", "left", "right"):
+    query(f"bag_join_{_how}", f"""SELECT coalesce(c_custkey, o_custkey) AS k, c_name, o_orderkey FROM (SELECT * FROM customer WHERE c_acctbal > 2000) c
+      {_how.upper()} JOIN (SELECT * FROM orders WHERE o_orderstatus = 'O') o ON c_custkey = o_custkey""")(_bag_join(_how))
+
+
+@query("bag_keys", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey % 7 = 3")
+def bag_keys(t: Tables) -> DataFrame:
+    """Keyed by customer, keyed anew by the remainder, filtered by that key and unkeyed."""
+    keyed = bag.rekey(bag.key_by(t.df("orders").select("o_orderkey", "o_custkey"), F.col("o_custkey")), F.col("o_custkey") % 7)
+    return bag.unkey(keyed.where("_key = 3"))
+
+
+@query("bag_order_by", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 5")
+def bag_order_by(t: Tables) -> DataFrame:
+    return bag.order_by(t.df("orders").select("o_orderkey", "o_totalprice"), [F.col("o_totalprice").desc(), F.col("o_orderkey").asc()], 25, 5)
+
+
+@query("bag_pipe", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1")
+def bag_pipe(t: Tables) -> DataFrame:
+    met = []
+    out = bag.pipe(t.df("nation"), lambda df: bag.tap(df, met.append), lambda df: df.groupBy("n_regionkey").agg(F.count("*").alias("n")))
+    return out if len(met) == 1 else out.limit(0)
+
+
+@query("order_moves", """WITH a AS (SELECT o_custkey AS k, row_number() OVER (ORDER BY sum(o_totalprice) DESC, o_custkey) - 1 AS place FROM orders WHERE o_orderkey % 5 <> 0 GROUP BY 1),
+  b AS (SELECT o_custkey AS k, row_number() OVER (ORDER BY sum(o_totalprice) DESC, o_custkey) - 1 AS place FROM orders GROUP BY 1)
+  SELECT k, a.place AS "from", b.place AS "to" FROM a JOIN b USING (k) WHERE a.place <> b.place""")
+def order_moves(t: Tables) -> DataFrame:
+    """Customers whose place by turnover changes as orders come in."""
+    places = []
+    for c in ("o_orderkey % 5 <> 0", "true"):
+        sums = t.df("orders").where(c).groupBy(F.col("o_custkey").alias("k")).agg(F.sum("o_totalprice").alias("total"))
+        places.append(bag.top_k(sums, [F.col("total").desc(), F.col("k").asc()], index="place").select("k", "place"))
+    return cdc.moves(*places, ["k"], "place")
+
+
+# unions of queries
+
+
+def _both(t: Tables) -> Query:
+    people = src(c=t.customer).select(lambda r: {"kind": "customer", "id": r.c.c_custkey, "nation": r.c.c_nationkey, "balance": r.c.c_acctbal})
+    firms = src(s=t.supplier).select(lambda r: {"kind": "supplier", "id": r.s.s_suppkey, "nation": r.s.s_nationkey, "balance": r.s.s_acctbal})
+    return Query().union_all(people, firms)
+
+
+BOTH = """(SELECT 'customer' AS kind, c_custkey AS id, c_nationkey AS nation, c_acctbal AS balance FROM customer
+  UNION ALL SELECT 'supplier', s_suppkey, s_nationkey, s_acctbal FROM supplier)"""
+
+
+@query("union_where", f"SELECT kind, id FROM {BOTH} WHERE balance > 5000 AND nation <> 3")
+def union_where(t: Tables) -> Query:
+    return _both(t).where(lambda r: f.and_(f.gt(r.balance, 5000), f.not_(f.eq(r.nation, 3)))).select(lambda r: {"kind": r.kind, "id": r.id})
+
+
+@query("union_branches_group", f"SELECT nation, count(kind) AS n, sum(balance) AS total FROM {BOTH} GROUP BY 1 HAVING count(kind) > 50")
+def union_branches_group(t: Tables) -> Query:
+    return (_both(t).group_by(lambda r: r.nation).select(lambda r: {"nation": r.nation, "n": f.count(r.kind), "total": f.sum_(r.balance)})
+            .having(lambda r: f.gt(f.count(r.kind), 50)))
+
+
+@query("union_join", f"SELECT kind, id, n_name FROM {BOTH} JOIN nation ON nation = n_nationkey WHERE n_regionkey = 1")
+def union_join(t: Tables) -> Query:
+    return (_both(t).join({"n": t.nation}, lambda r: f.eq(r.nation, r.n.n_nationkey), "inner").where(lambda r: f.eq(r.n.n_regionkey, 1))
+            .select(lambda r: {"kind": r.kind, "id": r.id, "n_name": r.n.n_name}))
+
+
+@query("union_order", f"SELECT kind, id, balance FROM {BOTH} ORDER BY balance DESC, kind, id LIMIT 40 OFFSET 10")
+def union_order(t: Tables) -> Query:
+    q = _both(t).select(lambda r: {"kind": r.kind, "id": r.id, "balance": r.balance})
+    return q.order_by(lambda r: r.balance, "desc").order_by(lambda r: [r.kind, r.id]).offset(10).limit(40)
+
+
+@query("union_include", """SELECT 'nation' AS kind, n_nationkey AS id, coalesce((SELECT string_agg(s_name, ',' ORDER BY s_name) FROM supplier WHERE s_nationkey = n_nationkey), '') AS names FROM nation
+  UNION ALL SELECT 'region', r_regionkey, NULL FROM region""")
+def union_include(t: Tables) -> DataFrame:
+    """A branch with a nested query; the other branch lacks that field."""
+    child = lambda r: src(s=t.supplier).where(lambda k: f.eq(k.s.s_nationkey, r.n.n_nationkey)).select(lambda k: k.s.s_name).order_by(lambda k: k.s.s_name)
+    nations = src(n=t.nation).select(lambda r: {"kind": "nation", "id": r.n.n_nationkey, "names": f.to_array(child(r))})
+    regions = src(g=t.region).select(lambda r: {"kind": "region", "id": r.g.r_regionkey})
+    return Query().union_all(nations, regions).to_df().select("kind", "id", F.array_join("names", ",").alias("names"))
+
+
+@query("include_through_subquery", """SELECT n_nationkey, coalesce((SELECT string_agg(c_name, ',' ORDER BY c_name) FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 8000), '') AS rich
+  FROM nation WHERE n_regionkey = 2""")
+def include_through_subquery(t: Tables) -> DataFrame:
+    child = lambda r: src(c=t.customer).where(lambda k: f.and_(f.eq(k.c.c_nationkey, r.n.n_nationkey), f.gt(k.c.c_acctbal, 8000))).select(lambda k: k.c.c_name).order_by(lambda k: k.c.c_name)
+    inner = src(n=t.nation).select(lambda r: {"n_nationkey": r.n.n_nationkey, "region": r.n.n_regionkey, "rich": f.to_array(child(r))})
+    return src(q=inner).where(lambda r: f.eq(r.q.region, 2)).to_df().select("n_nationkey", F.array_join("rich", ",").alias("rich"))
+
+
+# Python functions with clauses behind them
+
+
+def _doubled(t: Tables) -> Query:
+    return src(o=t.orders).fn_select(lambda pdf: pdf["o"].apply(lambda o: {"k": o["o_custkey"] % 100, "half": o["o_totalprice"] / 2}).apply(pd.Series).astype({"k": "int64"}), "k long, half double")
+
+
+@query("fn_select_order_limit", "SELECT o_custkey % 100 AS k, o_totalprice / 2 AS half FROM orders WHERE o_totalprice / 2 > 1000 ORDER BY half DESC, k LIMIT 15 OFFSET 3")
+def fn_select_order_limit(t: Tables) -> Query:
+    return _doubled(t).fn_having(lambda pdf: pdf["half"] > 1000).order_by(lambda r: r.selected.half, "desc").order_by(lambda r: r.selected.k).offset(3).limit(15)
+
+
+@query("fn_select_distinct", "SELECT DISTINCT o_custkey % 100 AS k FROM orders")
+def fn_select_distinct(t: Tables) -> Query:
+    return src(o=t.orders).fn_select(lambda pdf: pd.DataFrame({"k": [o["o_custkey"] % 100 for o in pdf["o"]]}), "k long").distinct()
+
+
+# values
+
+
+@query("filter_is_null", "SELECT d.doc_id FROM documents d JOIN labels l USING (doc_id) WHERE l.toxic = 1")
+def filter_is_null(t: Tables) -> Query:
+    """A field that is null where its row is there; documents without a label have no row and don't count."""
+    marked = Table(t.df("labels").select("doc_id", F.when(F.col("toxic") == 0, 0).alias("clean")), ("doc_id",))
+    return src(d=t.documents).left_join({"l": marked}, lambda r: f.eq(r.d.doc_id, r.l.doc_id)).where(lambda r: f.is_null(r.l.clean)).select(lambda r: {"doc_id": r.d.doc_id})
+
+
+def _null_keys(t: Tables, null_safe: bool) -> Query:
+    keyed = t.df("orders").select("o_orderkey", F.when(F.col("o_custkey") % 3 != 0, F.col("o_custkey")).alias("k"))
+    names = t.df("customer").select("c_name", F.when(F.col("c_custkey") != 0, F.col("c_custkey")).alias("k"))
+    return (src(o=Table(keyed, ("o_orderkey",))).join({"c": Table(names, ("c_name",))}, lambda r: f.eq(r.o.k, r.c.k), "inner", null_safe)
+            .select(lambda r: {"o_orderkey": r.o.o_orderkey, "c_name": r.c.c_name}))
+
+
+NULL_KEYS = """SELECT o_orderkey, c_name FROM (SELECT o_orderkey, CASE WHEN o_custkey % 3 <> 0 THEN o_custkey END AS a FROM orders)
+  JOIN (SELECT c_name, CASE WHEN c_custkey <> 0 THEN c_custkey END AS b FROM customer) ON """
+query("join_null_keys", NULL_KEYS + "a = b")(lambda t: _null_keys(t, False))
+query("join_null_safe", NULL_KEYS + "a IS NOT DISTINCT FROM b")(lambda t: _null_keys(t, True))
+
+
+@query("agg_text_numbers", "SELECT o_orderstatus, CAST(sum(-o_orderkey) AS DOUBLE) AS total, avg(CAST(o_orderkey || 'e1' AS DOUBLE)) AS mean FROM orders GROUP BY 1")
+def agg_text_numbers(t: Tables) -> Query:
+    """Texts that write numbers with a sign or an exponent, and one that writes none and is 0."""
+    text = t.df("orders").select("o_orderkey", "o_orderstatus", F.concat(F.lit("-"), F.col("o_orderkey").cast("string")).alias("a"), F.concat(F.col("o_orderkey").cast("string"), F.lit("e1")).alias("b"))
+    return src(o=Table(text, ("o_orderkey",))).group_by(lambda r: r.o.o_orderstatus).select(lambda r: {"o_orderstatus": r.o.o_orderstatus, "total": f.sum_(r.o.a), "mean": f.avg(r.o.b)})
+
+
+@query("fn_strftime", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS d FROM events WHERE ts >= TIMESTAMP '1900-01-01'")
+def fn_strftime(t: Tables) -> Query:
+    return src(e=t.events).where(lambda r: f.gte(r.e.ts, dt.datetime(1900, 1, 1, tzinfo=dt.UTC))).select(lambda r: {"event_id": r.e.event_id, "d": f.strftime("%Y-%m-%d", r.e.ts)})
+
+
+# sources
+
+
+def _round_trip(kind: str, **options):
+    def build(t: Tables) -> DataFrame:
+        rows = t.df("customer").select("c_custkey", "c_name", "c_acctbal")
+        path = f"{sources.shared_dir(t.spark)}/{kind}-{uuid.uuid4().hex}"
+        rows.write.format(kind).options(**options).save(path)
+        schema = rows.schema if kind in ("json", "csv") else None
+        return src(c=sources.read(t.spark, path, ("c_custkey",), kind, schema, **options)).where(lambda r: f.gt(r.c.c_acctbal, 0)).to_df()
+
+    return build
+
+
+for _kind, _options in (("json", {}), ("csv", {"header": "true"}), ("orc", {})):
+    query(f"source_{_kind}", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal > 0")(_round_trip(_kind, **_options))
+
+
+@query("source_text", "SELECT n_name AS value FROM nation")
+def source_text(t: Tables) -> DataFrame:
+    path = f"{sources.shared_dir(t.spark)}/text-{uuid.uuid4().hex}"
+    t.df("nation").select("n_name").write.text(path)
+    return src(x=sources.read(t.spark, path, format="text")).to_df()
+
+
+@query("source_memory", "SELECT n_name, code FROM nation JOIN (VALUES (0, 'AL'), (1, 'AR'), (7, 'GE')) v(k, code) ON k = n_nationkey")
+def source_memory(t: Tables) -> Query:
+    rows = sources.in_memory(t.spark, [(0, "AL"), (1, "AR"), (7, "GE")], "k int, code string", ("k",))
+    return src(n=t.nation).inner_join({"v": rows}, lambda r: f.eq(r.n.n_nationkey, r.v.k)).select(lambda r: {"n_name": r.n.n_name, "code": r.v.code})
+
+
+@query("subset_window", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 15 OFFSET 30")
+def subset_window(t: Tables) -> DataFrame:
+    """A window of rows, and one inside it that reads nothing from the source."""
+    table = Table(t.df("orders").select("o_orderkey", "o_totalprice"), ("o_orderkey",), "orders")
+    source = sources.SubsetSource(table, sources.VersionedTable(t.spark, f"{sources.shared_dir(t.spark)}/subset-{uuid.uuid4().hex}"))
+    order = (Order(Ref("t", ("o_totalprice",))),)
+    source.load(Subset(f.gt(Ref("t", ("o_totalprice",)), 400000)))
+    source.load(Subset(None, order, 40, 20))
+    out = source.load(Subset(None, order, 15, 30))
+    return out if source.requests == 2 else out.limit(0)
+
+
+# feeds, overlays, effects
+
+
+@query("feed_guard", """SELECT user_id, event_id AS seq, CASE WHEN k = 1 AND NOT seen THEN 'insert' WHEN k = 1 THEN NULL ELSE 'update' END AS type FROM (
+  SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, user_id % 2 = 0 AS seen, event_id % 2 = 0 AS fresh FROM events) WHERE (k = 1 AND NOT seen) OR (NOT fresh AND NOT (k = 1 AND NOT seen))
+  """.replace("WHEN k = 1 THEN NULL ", ""))
+def feed_guard(t: Tables) -> DataFrame:
+    """Inserts and updates by turns; subscribers see users of even ids already."""
+    feed = t.df("events").select("user_id", F.col("event_id").alias("seq"), F.when(F.col("event_id") % 2 == 0, "insert").otherwise("update").alias("type"))
+    return cdc.guard_duplicates(feed, t.df("events").select("user_id").where("user_id % 2 = 0"), ["user_id"], "seq")
+
+
+@query("overlay_view", """SELECT n_nationkey, CASE WHEN n_nationkey = 3 THEN 'RENAMED' ELSE n_name END AS n_name FROM nation WHERE n_nationkey <> 5 UNION ALL SELECT 900, 'NEW'""")
+def overlay_view(t: Tables) -> DataFrame:
+    """A completed transaction stays in view over a sync that doesn't have it yet."""
+    base = t.df("nation").select("n_nationkey", "n_name")
+    overlay = cdc.Overlay(base, ["n_nationkey"])
+    tx = overlay.begin()
+    tx.insert(900, n_name="NEW")
+    tx.update(3, n_name="RENAMED")
+    tx.delete(5)
+    overlay.commit(tx, lambda mutations: None)
+    overlay.sync(base)
+    return overlay.view()
+
+
+@query("live_set", "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice > 100000 GROUP BY 1")
+def live_set(t: Tables) -> DataFrame:
+    """Two tables, the second computed from the first, brought up to date in order."""
+    folder = f"{sources.shared_dir(t.spark)}/set-{uuid.uuid4().hex}"
+    large, counts = (sources.VersionedTable(t.spark, f"{folder}/{n}") for n in ("large", "counts"))
+    nodes = LiveSet()
+    nodes.add("large", lambda: large.publish(t.df("orders").where("o_totalprice > 100000")))
+    nodes.add("counts", lambda: counts.publish(large.read().groupBy("o_orderstatus").agg(F.count("*").alias("n"))), ("large",))
+    nodes.touch("large")
+    nodes.flush()
+    return counts.read()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import uuid
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,15 +14,18 @@ from pyspark.sql.types import StructType
 from tidewright.functions.columns import Compiler
 from tidewright.plans.ir import Ref, Table, replace
 from tidewright.plans.planner import _struct
-from tidewright.plans.predicates import Loads, Subset
+from tidewright.plans.predicates import Loads, Subset, is_subset
 
 FORMATS = ("parquet", "orc", "json", "csv", "text")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and executors share: spark.checkpoint.dir, or in local runs one of our own."""
+    """The folder that the driver and executors share: spark.checkpoint.dir, or, where all run on one machine, one of our own."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tidewright-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -60,7 +64,11 @@ def write(df: DataFrame, path: str, format: str = "parquet", mode: str = "errori
 
 
 class _Published:
-    """A folder whose small file CURRENT names what is current; replacing that file publishes all at once."""
+    """A folder in which the small file CURRENT-n of the highest n names what is current.
+
+    A pointer is written under another name and renamed to a new one, so that
+    at every moment the folder has either the old state or the new one.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -68,23 +76,31 @@ class _Published:
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(self.path))
 
+    def _pointers(self) -> list[str]:
+        names = [x.getPath().getName() for x in self._fs.listStatus(self._path(self.path))]
+        return sorted(n for n in names if n.startswith("CURRENT-"))
+
     def _pointer(self) -> dict:
-        at = self._path(f"{self.path}/CURRENT")
-        if not self._fs.exists(at):
+        names = self._pointers()
+        if not names:
             return {"version": 0, "batch": -1, "schema": None}
-        stream = self._fs.open(at)
+        stream = self._fs.open(self._path(f"{self.path}/{names[-1]}"))
         try:
             return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
     def _point(self, now: dict) -> None:
-        draft, at = self._path(f"{self.path}/_next"), self._path(f"{self.path}/CURRENT")
+        names = self._pointers()
+        n = int(names[-1].removeprefix("CURRENT-")) + 1 if names else 1
+        draft, at = self._path(f"{self.path}/_next-{uuid.uuid4().hex}"), self._path(f"{self.path}/CURRENT-{n:012d}")
         out = self._fs.create(draft, True)
         out.write(bytearray(json.dumps(now).encode()))
         out.close()
-        self._fs.delete(at, False)
-        self._fs.rename(draft, at)
+        if not self._fs.rename(draft, at):
+            raise OSError(f"another writer has published {at}")
+        for old in names[:-1]:
+            self._fs.delete(self._path(f"{self.path}/{old}"), False)
 
     def _forget(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
@@ -234,6 +250,7 @@ class SubsetSource:
 
     def __init__(self, table: Table, sink: VersionedTable, alias: str = "t"):
         self.table, self.sink, self.alias, self.loads, self.requests = table, sink, alias, Loads(), 0
+        self.windows: list[tuple[Subset, VersionedTable]] = []
 
     def _select(self, df: DataFrame, load: Subset) -> DataFrame:
         from tidewright.plans.planner import _directed
@@ -250,6 +267,17 @@ class SubsetSource:
         return frame.select(*[F.col(f"{self.alias}.{n}") for n in df.columns])
 
     def load(self, load: Subset) -> DataFrame:
+        """The rows that ``load`` asks for; a window of rows is kept by itself, as its place is known only where all before it is."""
+        if load.windowed and not self.loads.unlimited(load):
+            for known, rows in self.windows:
+                if is_subset(load, known):
+                    return self._select(rows.read(), Subset(None, load.order_by, load.limit, (load.offset or 0) - (known.offset or 0)))
+            self.requests += 1
+            rows = VersionedTable(self.table.df.sparkSession, f"{self.sink.path}-window-{len(self.windows)}")
+            rows.publish(self._select(self.table.df, load))
+            upsert(self.sink, rows.read(), list(self.table.key))
+            self.windows.append((load, rows))
+            return self._select(rows.read(), Subset(None, load.order_by, load.limit, 0))
         rest = self.loads.missing(load)
         if rest is not None:
             self.requests += 1

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.operators.bag import M
@@ -92,10 +92,17 @@ def filter_feed(changes: DataFrame, matches: Callable[[Callable[[str], Column]],
     return out.withColumn("value", F.when(left, F.col("previous")).otherwise(F.col("value"))).withColumn("previous", F.when(F.col("__t") == "update", F.col("previous"))).withColumn("type", F.col("__t")).drop("__t")
 
 
-def guard_duplicates(changes: DataFrame, visible: DataFrame, key: list[str]) -> DataFrame:
-    """Changes fit for a subscriber that sees ``visible``: inserts of known keys go, updates of unknown ones insert, deletes of unknown ones go."""
+def guard_duplicates(changes: DataFrame, visible: DataFrame, key: list[str], seq: str | None = None) -> DataFrame:
+    """Changes fit for a subscriber that sees ``visible``: inserts of known keys go, updates of unknown ones insert, deletes of unknown ones go.
+
+    A key is known if the change before, by ``seq``, inserted or updated it, or
+    else if it is visible.  Without ``seq`` a key has one change at most.
+    """
     seen = visible.select(*key).distinct().withColumn("__seen", F.lit(True))
     out = changes.join(seen, key, "left").withColumn("__seen", F.coalesce("__seen", F.lit(False)))
+    if seq is not None:
+        before = F.lag("type").over(Window.partitionBy(*key).orderBy(seq))
+        out = out.withColumn("__seen", F.coalesce(before != "delete", F.col("__seen")))
     out = out.where(~((F.col("type") == "insert") & F.col("__seen")) & ~((F.col("type") == "delete") & ~F.col("__seen")))
     return out.withColumn("type", F.when((F.col("type") == "update") & ~F.col("__seen"), "insert").otherwise(F.col("type"))).drop("__seen").select(*changes.columns)
 
@@ -178,8 +185,8 @@ class Overlay:
     """A synced table with transactions laid over it.
 
     A failed persist rolls its transaction back, with all pending ones that
-    touch its keys.  A persisted one stays laid over until a sync brings its
-    rows.  The mutations are what one session wrote by hand, so they are few.
+    touch its keys.  A persisted one stays laid over until a sync brings what it
+    did.  The mutations are what one session wrote by hand, so they are few.
     """
 
     def __init__(self, base: DataFrame, key: list[str]):
@@ -206,10 +213,25 @@ class Overlay:
             if other.state == "pending" and tx.touches(other):
                 self.rollback(other)
 
-    def sync(self, base: DataFrame) -> None:
-        """A newer synced state; completed transactions are in it."""
+    def sync(self, base: DataFrame, confirmed: list[Any] | None = None) -> None:
+        """A newer synced state.  Completed transactions stay laid over it until it has what they did, or all their keys are ``confirmed``."""
         self.base = base
-        self.transactions = [t for t in self.transactions if t.state in ("pending", "persisting")]
+        done = [t for t in self.transactions if t.state == "completed" and t.mutations]
+        sure = {k if isinstance(k, tuple) else (k,) for k in confirmed or ()}
+        keys = sorted({k for t in done for k in t.mutations}, key=repr)
+        found: dict[tuple, dict[str, Any]] = {}
+        if keys:
+            wanted = base.sparkSession.createDataFrame(keys, _schema([base.schema[k] for k in self.key]))
+            found = {tuple(r[k] for k in self.key): r.asDict() for r in base.join(F.broadcast(wanted), self.key, "left_semi").collect()}
+
+        def arrived(m: Mutation) -> bool:
+            row = found.get(m.key)
+            if m.key in sure:
+                return True
+            return row is None if m.type == "delete" else row is not None and all(row.get(c) == v for c, v in m.changes.items())
+
+        gone = [t for t in done if all(map(arrived, t.mutations.values()))]
+        self.transactions = [t for t in self.transactions if t.state in ("pending", "persisting") or t in done and t not in gone]
 
     def view(self) -> DataFrame:
         """The rows as the session sees them."""
