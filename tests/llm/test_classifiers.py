@@ -4,6 +4,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidewright.llm import language_id as L
 from tidewright.llm import quality as Q
@@ -71,6 +72,13 @@ def test_one_scan_samples_all_classes(spark):
     rows = spark.createDataFrame([(i % 50, f"c{i % 3}") for i in range(900)] + [(7, "hot")] * 500, "doc_id long, label string")
     found = L.sample_ids(rows, "label", 10).collect()
     assert len(set(found)) == len(found) == 31
+    # Thinning a large class leaves the same ids.
+    many = spark.range(20_000).selectExpr("id as doc_id", "if(id % 50 = 0, 'rare', 'common') as label")
+    want = L.sample_ids(many, "label", 500)
+    thinned = L.sample_ids(many, "label", 20)
+    for label in ("rare", "common"):
+        least = [r[0] for r in want.where(f"label = '{label}'").orderBy(F.xxhash64("doc_id")).limit(20).select("doc_id").collect()]
+        assert sorted(least) == sorted(r[0] for r in thinned.where(f"label = '{label}'").select("doc_id").collect())
 
 
 def test_counts_equal_one_by_one(monkeypatch):

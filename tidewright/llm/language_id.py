@@ -149,12 +149,11 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     What reaches the driver is at most DIMENSIONS numbers a text, however long it is.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("label")).where(F.col("label").isNotNull() & (fold(F.col("doc_id"), folds) != held))
-    ids = sample_ids(rows, "label", quota)
-    if len(names := ids.select("label").distinct().limit(LANGUAGES + 1).collect()) > LANGUAGES:
+    if len(names := rows.select("label").distinct().limit(LANGUAGES + 1).collect()) > LANGUAGES:
         raise ValueError(f"{lang_col} has more than {LANGUAGES} values")
     if not names:
         return fit([], [])
-    texts = labelled_texts(docs, ids, id_col, text_col, lang_col).select("label", "text")
+    texts = labelled_texts(docs, sample_ids(rows, "label", quota), id_col, text_col, lang_col).select("label", "text")
     found = map_batches(texts, _sparse, "label string, places array<long>, counts array<long>").toArrow()
     found = sorted(zip(found["label"].to_pylist(), found["places"].to_pylist(), found["counts"].to_pylist(), strict=True))
     return fit([(np.array(p, np.int64), np.array(n, np.int64)) for _, p, n in found], [x for x, *_ in found])
