@@ -4,6 +4,7 @@ import pytest
 
 from tidewright import functions as f
 from tidewright.errors import OpaqueError
+from tidewright.plans import predicates
 from tidewright.plans.builder import Query
 from tidewright.plans.ir import Func, Order, Ref, Table, Value
 from tidewright.plans.predicates import FALSE, Loads, Subset, is_subset, is_where_subset, is_window_subset, minus_where, simple_comparisons, stable_hash, union_where
@@ -101,3 +102,22 @@ def test_stable_hash(spark):
     assert stable_hash(f.eq(X, 1)) != stable_hash(f.eq(X, "1"))
     with pytest.raises(OpaqueError):
         stable_hash(Query().from_(t=t).fn_where(lambda p: p))
+
+
+def test_expressions_are_parsed_for_a_backend():
+    a, b = Ref("t", ("a",)), Ref("t", ("b", "c"))
+    words = {"and": lambda *xs: " and ".join(xs), "eq": lambda x, y: f"{'.'.join(x)} = {y}", "gt": lambda x, y: f"{'.'.join(x)} > {y}"}
+    e = f.and_(f.eq(a, 1), f.gt(b, 2))
+    assert predicates.parse(e, words) == "a = 1 and b.c > 2"
+    assert predicates.parse(None, words) is None
+    assert predicates.parse(f.lt(a, 1), words, unknown=lambda name, args: (name, args)) == ("lt", (("a",), 1))
+    assert predicates.parse(a, {}, field=lambda r: r.path[0].upper()) == "A"
+    with pytest.raises(ValueError):
+        predicates.parse(f.lt(a, 1), words)
+    orders = (Order(a, True, "last"), Order(b))
+    assert predicates.parse_order(orders) == [{"field": ("a",), "direction": "desc", "nulls": "last"}, {"field": ("b", "c"), "direction": "asc", "nulls": "first"}]
+    with pytest.raises(ValueError):
+        predicates.parse_order((Order(f.upper(a)),))
+    load = predicates.parse_load(Subset(e, orders, 5, 2))
+    assert [c.op for c in load["filters"]] == ["eq", "gt"] and (load["limit"], load["offset"], len(load["sorts"])) == (5, 2, 2)
+    assert predicates.parse_load(None) == {"filters": [], "sorts": [], "limit": None, "offset": None}

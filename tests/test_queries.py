@@ -163,3 +163,25 @@ def test_random_windows_equal_python(spark):
 def test_the_frame_stays_lazy(users):
     df = Query().from_(u=users).select(lambda r: {"n": f.upper(r.u.name)}).to_df()
     assert df.where(F.col("n") == "BOB").count() == 1
+
+
+def test_a_query_used_twice_is_planned_once(spark, monkeypatch):
+    from tidewright.plans import planner
+
+    made = []
+    whole = planner._planned
+    monkeypatch.setattr(planner, "_planned", lambda p, *rest: made.append(p) or whole(p, *rest))
+    t = Table(spark.createDataFrame([(1, 1), (2, 1)], "id long, up long"), ("id",), "t")
+    inner = Query().from_(t=t).where(lambda r: f.gt(r.t.id, 0))
+    q = Query().from_(a=inner).join({"b": inner}, lambda r: f.eq(r.a.up, r.b.id), "inner").select(lambda r: {"a": r.a.id, "b": r.b.id})
+    assert sorted(map(tuple, q.to_df().collect())) == [(1, 1), (2, 1)]
+    assert len([p for p in made if p is inner.plan]) == 1
+
+
+def test_unlimited_nested_queries_need_no_window(spark):
+    p = Table(spark.createDataFrame([(1,), (2,)], "id long"), ("id",), "p")
+    c = Table(spark.createDataFrame([(1, 1, None), (2, 1, "b"), (3, 1, "a")], "id long, up long, name string"), ("id",), "c")
+    q = Query().from_(p=p).select(lambda r: {"id": r.p.id, "kids": f.to_array(Query().from_(c=c).where(lambda k: f.eq(k.c.up, r.p.id)).select(lambda k: k.c.id).order_by(lambda k: k.c.name))})
+    df = q.to_df()
+    assert sorted(map(tuple, df.collect())) == [(1, [1, 3, 2]), (2, [])]
+    assert "Window" not in df._jdf.queryExecution().toString()

@@ -8,7 +8,7 @@ from tidewright import sources
 from tidewright.plans.builder import Query
 from tidewright.plans.ir import Ref, Table
 from tidewright.plans.predicates import Subset
-from tidewright.streaming import cdc
+from tidewright.streaming import cdc, maintained
 from tidewright.streaming.live import Effect, LiveQuery, LiveSet
 
 ROW = "id long, g string, v long"
@@ -188,3 +188,57 @@ def test_files(spark, tmp_path):
         assert rows(sources.read(spark, f"{tmp_path}/{kind}", ("id",), kind, ROW).df) == [(1, "a", 2)]
     with pytest.raises(ValueError):
         sources.read(spark, f"{tmp_path}/json", format="json")
+
+
+def test_sync_shows_transactions_whole_and_waits_for_persisting_ones(spark, tmp_path):
+    table = sources.VersionedTable(spark, f"file://{tmp_path}/t")
+    overlay = cdc.Overlay(table.publish(spark.createDataFrame([(1, "a", 1)], ROW)), ["id"])
+    sync = cdc.Sync(table, ["id"], overlay)
+    with pytest.raises(ValueError):
+        sync.write(changes(spark, []))
+    sync.begin()
+    with pytest.raises(ValueError):
+        sync.begin()
+    sync.write(changes(spark, [(2, "b", 2, 1, "insert")]))
+    assert rows(table.read()) == [(1, "a", 1)]
+    tx = overlay.begin()
+    tx.insert(3, g="c", v=3)
+
+    def persist(mutations):
+        assert sync.commit() is False  # held back
+        assert rows(table.read()) == [(1, "a", 1)]
+
+    overlay.commit(tx, persist)
+    assert sync.flush() is True
+    assert rows(table.read()) == [(1, "a", 1), (2, "b", 2)]
+    assert rows(overlay.view()) == [(1, "a", 1), (2, "b", 2), (3, "c", 3)]
+    sync.begin()
+    sync.write(changes(spark, [(8, "x", 8, 1, "insert")]))
+    sync.truncate()
+    sync.write(changes(spark, [(3, "c", 3, 1, "insert")]))
+    assert sync.commit() is True
+    assert rows(table.read()) == rows(overlay.view()) == [(3, "c", 3)]
+    sync.mark_ready()
+    assert sync.ready
+
+
+def test_a_maintained_batch_that_failed_halfway_is_taken_up_again(spark, tmp_path):
+    rows_ = spark.createDataFrame([(1, "a", 1, 1)], f"{ROW}, _mult long")
+    live = maintained.group_by(spark, f"file://{tmp_path}/g", rows_, ["g"], 2, s=("sum", "v"))
+    delta = spark.createDataFrame([(2, "a", 5, 1), (3, "b", 7, 1)], f"{ROW}, _mult long")
+    whole, live.result.replace = live.result.replace, lambda *a: (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError):
+        live.apply(1, rows=delta)
+    live.result.replace = whole
+    change = live.apply(1, rows=delta)
+    assert rows(change.select("g", "s", "_mult")) == [("a", 1, -1), ("a", 6, 1), ("b", 7, 1)]
+    assert rows(live.df().select("g", "s")) == [("a", 6), ("b", 7)]
+
+
+def test_a_log_with_too_many_changes_is_reloaded(spark, tmp_path):
+    log = sources.TxLog(spark, f"file://{tmp_path}/log", ["id"])
+    log.append(changes(spark, [(1, "a", 1, 0, "insert"), (2, "b", 2, 0, "insert")]).drop("seq"))
+    log.append(changes(spark, [(1, "a", 1, 0, "delete")]).drop("seq"))
+    assert log.pull_since(0, most=2)[0] == "reload" and rows(log.pull_since(0, most=2)[1]) == [(2, "b", 2)]
+    kind, made = log.pull_since(1, most=2)
+    assert kind == "changes" and [r["type"] for r in made.collect()] == ["delete"]

@@ -11,6 +11,7 @@ parent compares, ranked, gathered by key and joined on.
 
 from __future__ import annotations
 
+import threading
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
@@ -27,6 +28,10 @@ from tidewright.plans.builder import Query
 from tidewright.plans.ir import SELECTED, UNION, Agg, Case, Expr, Func, Include, Order, Plan, Ref, Table, aggregates, conjuncts, replace, walk
 
 
+#: What has been planned for the query that a thread is planning, by the identity of its parts.
+_PLANNING = threading.local()
+
+
 @dataclass
 class Scope:
     """Rows with one struct an alias, the columns that identify a row, and which aliases may be absent."""
@@ -124,9 +129,19 @@ def _antijoin(p: Plan) -> Plan | None:
 
 
 def to_df(query: Query) -> DataFrame:
-    """The query's result, rows in the query's order."""
-    query.validate()
-    return _planned(query.plan, ())
+    """The query's result, rows in the query's order.  A query that stands several times in another is planned once."""
+    known, outermost = getattr(_PLANNING, "known", None), False
+    if known is None:
+        known, outermost = {}, True
+        _PLANNING.known = known
+    try:
+        if id(query) not in known:
+            query.validate()
+            known[id(query)] = query, _planned(query.plan, ())
+        return known[id(query)][1]
+    finally:
+        if outermost:
+            _PLANNING.known = None
 
 
 def _planned(p: Plan, correlated: tuple[Expr, ...], context: DataFrame | None = None, links: tuple = (), swap_parent: dict | None = None) -> DataFrame:
@@ -260,8 +275,14 @@ def _finish(scope: Scope, p: Plan, correlated: tuple[Expr, ...], swap_parent: di
             frame = frame.dropDuplicates([*names, *out])
         else:
             # Of equal rows the first in the order stays, so that an order by what isn't selected means something.
-            first = Window.partitionBy(*names, *map(quoted, out)).orderBy(*[_directed(c, o) for c, o in orders], *ties)
-            frame = frame.withColumn("__n", F.row_number().over(first)).where("__n = 1")
+            rest = [c for c in frame.columns if c not in (*names, *out)]
+            if all(not o.descending and o.nulls == "first" for _, o in orders) and all(_orderable(frame.schema[c].dataType) for c in (*rest, *out)):
+                # The least struct combines before the shuffle; the columns of the order come first in it.
+                least = frame.groupBy(*names, *map(quoted, out)).agg(F.min(F.struct(*rest)).alias("__first"))
+                frame = least.select(*names, *map(quoted, out), *[F.col("__first")[c].alias(c) for c in rest])
+            else:
+                first = Window.partitionBy(*names, *map(quoted, out)).orderBy(*[_directed(c, o) for c, o in orders], *ties)
+                frame = frame.withColumn("__n", F.row_number().over(first)).where("__n = 1")
         ties = [quoted(c) for c in out if _orderable(frame.schema[c].dataType)]
     return _ordered(frame, p, orders, ties, out, tuple(names))
 
@@ -285,6 +306,10 @@ def _directed(c: Column, o: Order) -> Column:
 def _ordered(frame: DataFrame, p: Plan, orders: list, ties: list[Column], out: list[str], names: tuple[str, ...]) -> DataFrame:
     sort = [*[_directed(c, o) for c, o in orders], *[t.asc_nulls_first() for t in ties]]
     limit = p.limit if not p.single or p.limit is not None and p.limit < 1 else 1
+    if names and not p.offset and limit is None and all(not o.descending and o.nulls == "first" and _orderable(frame.select(c).schema[0].dataType) for c, o in orders):
+        # Structs sort as their fields do, nulls first, so the sort key is the rank and nothing need be ordered before the rows are gathered.
+        frame = frame.withColumn("__rank", F.struct(*[c.alias(f"o{k}") for k, c in enumerate([*[c for c, _ in orders], *ties])]) if sort else F.lit(1))
+        return frame.select(*map(quoted, names), "__rank", *map(quoted, out))
     if names:
         rank = F.row_number().over(Window.partitionBy(*map(quoted, names)).orderBy(*(sort or [F.lit(1)])))
         frame = frame.withColumn("__rank", rank)

@@ -18,7 +18,7 @@ from tidewright.operators.ordering import Pages, keyset_after, sort_columns
 from tidewright.plans.builder import Query
 from tidewright.plans.ir import Order, Ref, Table
 from tidewright.plans.predicates import Subset
-from tidewright.streaming import cdc
+from tidewright.streaming import cdc, maintained
 from tidewright.streaming.live import Effect, LiveQuery, LiveSet
 
 KEYS = {
@@ -952,3 +952,94 @@ def live_set(t: Tables) -> DataFrame:
     nodes.touch("large")
     nodes.flush()
     return counts.read()
+
+
+# maintained by changes
+
+
+def _store(t: Tables, name: str) -> str:
+    return f"{sources.shared_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("live_join", """SELECT c_custkey AS k, c_name, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 4 <> 2) ON o_custkey = c_custkey WHERE c_custkey % 9 <> 4""")
+def live_join(t: Tables) -> DataFrame:
+    """A left join of which both sides change; the second batch takes rows away from both."""
+    people = bag.lift(t.df("customer").select(F.col("c_custkey").alias("k"), "c_name"))
+    bought = bag.lift(t.df("orders").select(F.col("o_custkey").alias("k"), "o_orderkey"))
+    live = maintained.join(t.spark, _store(t, "join"), people.where("k % 2 = 0"), bought.where("o_orderkey % 2 = 0"), ["k"], "left")
+    live.apply(1, left=people.where("k % 2 = 1"), right=bought.where("o_orderkey % 2 = 1"))
+    live.apply(2, left=bag.negate(people.where("k % 9 = 4")), right=bag.negate(bought.where("o_orderkey % 4 = 2")))
+    return bag.expand(live.df())
+
+
+@query("live_topk", """SELECT * FROM (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 5 <> 3 ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 4)""")
+def live_topk(t: Tables) -> DataFrame:
+    """A window of the dearest orders while orders come and go, moved at the end; what moved in less what moved out is the window."""
+    rows = bag.lift(t.df("orders").select("o_orderkey", "o_totalprice"))
+    live = maintained.TopK(t.spark, _store(t, "topk"), rows.where("o_orderkey % 2 = 0"), ["o_orderkey"], [F.col("o_totalprice").desc(), F.col("o_orderkey").asc()], 20)
+    shown = bag.lift(live.df())
+    for n, delta in enumerate([rows.where("o_orderkey % 2 = 1"), bag.negate(rows.where("o_orderkey % 5 = 3"))]):
+        shown = t.spark.createDataFrame(bag.concat(shown, live.apply(delta, n)).collect(), shown.schema)  # the window's rows, a limit's worth
+    shown = bag.concat(shown, live.move(4))
+    return bag.expand(shown).select("o_orderkey", "o_totalprice")
+
+
+@query("live_retraction", """SELECT o_orderstatus, count(*) AS n, max(o_totalprice) AS high, median(o_totalprice) AS mid FROM orders WHERE o_totalprice < 150000 GROUP BY 1""")
+def live_retraction(t: Tables) -> DataFrame:
+    """Aggregates whose largest values are taken away again."""
+    rows = bag.lift(t.df("orders").select("o_orderkey", "o_orderstatus", "o_totalprice"))
+    live = maintained.group_by(t.spark, _store(t, "groups"), rows, ["o_orderstatus"], n=("count", "o_orderkey"), high=("max", "o_totalprice"), mid=("median", "o_totalprice"))
+    live.apply(1, rows=bag.negate(rows.where("o_totalprice >= 150000")))
+    return bag.expand(live.df())
+
+
+@query("live_totals", "SELECT l_returnflag, count(*) AS n, sum(l_linenumber) AS s, avg(l_linenumber) AS m FROM lineitem WHERE l_linenumber <> 2 GROUP BY 1")
+def live_totals(t: Tables) -> DataFrame:
+    """Sums by delta: no row is read again when others come or go."""
+    rows = bag.lift(t.df("lineitem").select("l_returnflag", F.col("l_linenumber").cast("long").alias("l_linenumber")))
+    live = maintained.Totals(t.spark, _store(t, "totals"), rows.where("l_linenumber < 3"), ["l_returnflag"], n=("count", "l_linenumber"), s=("sum", "l_linenumber"), m=("avg", "l_linenumber"))
+    live.apply(rows.where("l_linenumber >= 3"), 1)
+    live.apply(bag.negate(rows.where("l_linenumber = 2")), 2)
+    return bag.expand(live.df()).selectExpr("l_returnflag", "n", "s", "m")
+
+
+@query("live_distinct_chain", "SELECT count(DISTINCT user_id) AS users FROM events WHERE event_type <> 'purchase'")
+def live_distinct_chain(t: Tables) -> DataFrame:
+    """A maintained distinct whose changes feed a maintained count."""
+    rows = bag.lift(t.df("events").select("event_id", "user_id", "event_type"))
+    users = maintained.distinct(t.spark, _store(t, "users"), rows.where("event_id % 2 = 0").select("user_id", bag.M), ["user_id"])
+    one = lambda df: df.withColumn("all", F.lit(1))
+    total = maintained.Totals(t.spark, _store(t, "count"), one(users.df()), ["all"], users=("count", "user_id"))
+    total.apply(one(users.apply(1, rows=rows.where("event_id % 2 = 1").select("user_id", bag.M))), 1)
+    total.apply(one(users.apply(2, rows=bag.negate(rows.where("event_type = 'purchase'")).select("user_id", bag.M))), 2)
+    return total.df().select("users")
+
+
+@query("sync_truncate", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2 UNION ALL SELECT 901, 'LATE'")
+def sync_truncate(t: Tables) -> DataFrame:
+    """A transaction that empties the table and fills it anew, and one after it."""
+    rows = t.df("nation").select("n_nationkey", "n_name", "n_regionkey")
+    table = sources.VersionedTable(t.spark, _store(t, "sync"))
+    table.publish(rows.where("n_regionkey < 2").select("n_nationkey", "n_name"))
+    sync = cdc.Sync(table, ["n_nationkey"])
+    feed = lambda df: df.withColumn("seq", F.lit(1)).withColumn("type", F.lit("insert"))
+    sync.begin()
+    sync.write(feed(rows.where("n_regionkey = 3").select("n_nationkey", "n_name")))
+    sync.truncate()
+    sync.write(feed(rows.where("n_regionkey = 2").select("n_nationkey", "n_name")))
+    sync.commit()
+    sync.begin()
+    sync.write(feed(t.spark.range(1).select(F.lit(901).cast(rows.schema["n_nationkey"].dataType).alias("n_nationkey"), F.lit("LATE").alias("n_name"))))
+    sync.commit()
+    return table.read()
+
+
+@query("tx_log_reload", "SELECT event_id, value FROM events WHERE event_id % 3 <> 1")
+def tx_log_reload(t: Tables) -> DataFrame:
+    """More changes than a reader wants to replay: it gets the whole state instead."""
+    log = sources.TxLog(t.spark, _store(t, "log"), ["event_id"])
+    rows = t.df("events").select("event_id", "value")
+    log.append(rows.withColumn("type", F.lit("insert")))
+    log.append(rows.where("event_id % 3 = 1").withColumn("type", F.lit("delete")))
+    kind, state = log.pull_since(0, most=10)
+    return state if kind == "reload" else state.limit(0).select("event_id", "value")

@@ -230,15 +230,18 @@ class TxLog:
             self.state._fs.delete(self.state._path(f"{self.path}/log/tx={n}"), True)
         self.marks.publish(self.spark.createDataFrame([(seq, max(pruned, min(before, seq)))], "seq int, pruned int"))
 
-    def pull_since(self, seq: int) -> tuple[str, DataFrame]:
-        """("changes", what happened after ``seq``), or ("reload", the whole state) if the log has been pruned past it."""
+    def pull_since(self, seq: int, most: int | None = None) -> tuple[str, DataFrame]:
+        """("changes", what happened after ``seq``, deletes included), or ("reload", the whole state) if the log has been pruned past it or has more than ``most`` changes."""
         last, pruned = self._mark()
         if seq < pruned:
             return "reload", self.state.read()
         paths = [f"{self.path}/log/tx={n}" for n in range(seq + 1, last + 1)]
         if not paths:
             return "changes", self.state.read().limit(0).withColumn("type", F.lit("")).withColumn("seq", F.lit(0))
-        return "changes", self.spark.read.parquet(*paths)
+        changes = self.spark.read.parquet(*paths)
+        if most is not None and changes.limit(most + 1).count() > most:
+            return "reload", self.state.read()
+        return "changes", changes
 
 
 class SubsetSource:

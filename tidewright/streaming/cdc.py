@@ -251,6 +251,73 @@ class Overlay:
         return df
 
 
+class Sync:
+    """A source's side of a synced table: begin, write, commit, truncate.
+
+    Nothing of a transaction shows before its commit.  ``truncate`` takes away
+    all rows that were there before it in its transaction, and what is written
+    after it stays.  With an overlay, commits wait while one of its transactions
+    is persisting, as the state they bring may lack its rows; those that
+    truncate, or are committed ``immediate``, don't wait, and take what waits
+    before them along in order.  ``flush`` publishes what waited.
+    """
+
+    def __init__(self, table: Any, key: list[str], overlay: Overlay | None = None, mode: str = "full"):
+        self.table, self.key, self.overlay, self.mode = table, key, overlay, mode
+        self.ready, self.error = False, None
+        self._open: list[DataFrame] | None = None
+        self._truncates = False
+        self._waiting: list[tuple[list[DataFrame], bool]] = []
+
+    def begin(self) -> None:
+        if self._open is not None:
+            raise ValueError("a sync transaction is open already")
+        self._open, self._truncates = [], False
+
+    def write(self, changes: DataFrame) -> None:
+        """Changes of the transaction: the row's columns, seq and type."""
+        if self._open is None:
+            raise ValueError("no sync transaction is open")
+        self._open.append(changes)
+
+    def truncate(self) -> None:
+        if self._open is None:
+            raise ValueError("no sync transaction is open")
+        self._open, self._truncates = [], True
+
+    def commit(self, immediate: bool = False) -> bool:
+        """Ends the transaction; whether its state shows now."""
+        if self._open is None:
+            raise ValueError("no sync transaction is open")
+        self._waiting.append((self._open, self._truncates))
+        now = immediate or self._truncates
+        self._open = None
+        return self.flush(now)
+
+    def flush(self, immediate: bool = False) -> bool:
+        """Publishes what has been committed, unless a persisting transaction holds it back."""
+        if not immediate and self.overlay is not None and any(t.state == "persisting" for t in self.overlay.transactions):
+            return False
+        if not self._waiting:
+            return True
+        state = self.table.read()
+        for writes, truncates in self._waiting:
+            state = state.limit(0) if truncates else state
+            for changes in writes:
+                state = apply_changes(state, changes, self.key, mode=self.mode)
+        state = self.table.publish(state)
+        self._waiting = []
+        if self.overlay is not None:
+            self.overlay.sync(state)
+        return True
+
+    def mark_ready(self) -> None:
+        self.ready, self.error = True, None
+
+    def mark_error(self, error: Exception) -> None:
+        self.error = error
+
+
 def _schema(fields: list) -> Any:
     from pyspark.sql import types as T
 
