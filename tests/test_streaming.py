@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewright import functions as f
-from tidewright import sources
+from tidewright import queries, sources
 from tidewright.plans.builder import Query
 from tidewright.plans.ir import Ref, Table
 from tidewright.plans.predicates import Subset
@@ -111,6 +111,15 @@ def test_order_moves(spark):
     assert rows(cdc.moves(before, after, ["id"], "place")) == [(1, 0, 1)]
 
 
+def test_order_moves_do_not_depend_on_the_files(spark, tmp_path):
+    """0.1 + 0.2 + 0.3 isn't 0.1 + (0.2 + 0.3): customers 1, 2 and null have equal totals, but one's orders lie in two files."""
+    orders = {1: (1, 0.1), 2: (1, 0.2), 3: (1, 0.3), 6: (2, 0.1), 7: (2, 0.2), 8: (2, 0.3), 11: (None, 0.1), 12: (None, 0.2), 13: (None, 0.3), 14: (4, 0.5), 15: (3, 9.0)}
+    for part in ({1, *range(6, 16)}, {2, 3}):
+        some = [(k, *v) for k, v in orders.items() if k in part]
+        spark.createDataFrame(some, "o_orderkey long, o_custkey long, o_totalprice double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/orders.parquet")
+    assert rows(queries.QUERIES["order_moves"](spark, f"file://{tmp_path}")) == [(1, 0, 1), (2, 1, 2), (4, 3, 4)]
+
+
 def test_transactions(spark):
     overlay = cdc.Overlay(spark.createDataFrame([(1, "a", 1), (2, "b", 2)], ROW), ["id"])
     tx = overlay.begin()

@@ -758,11 +758,19 @@ def bag_pipe(t: Tables) -> DataFrame:
   b AS (SELECT o_custkey AS k, row_number() OVER (ORDER BY sum(o_totalprice) DESC, o_custkey) - 1 AS place FROM orders GROUP BY 1)
   SELECT k, a.place AS "from", b.place AS "to" FROM a JOIN b USING (k) WHERE a.place <> b.place""")
 def order_moves(t: Tables) -> DataFrame:
-    """Customers whose place by turnover changes as orders come in."""
+    """Customers whose place by turnover changes as orders come in.
+
+    Each total is added up in the order of its orders' keys.  Sums of doubles
+    added in any order would differ in their last bits with the tables' files,
+    and with them the places of customers whose totals are equal or nearly so.
+    """
     places = []
+    whole = Window.partitionBy("k").orderBy("o_orderkey", "o_totalprice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for c in ("o_orderkey % 5 <> 0", "true"):
-        sums = t.df("orders").where(c).groupBy(F.col("o_custkey").alias("k")).agg(F.sum("o_totalprice").alias("total"))
-        places.append(bag.top_k(sums, [F.col("total").desc(), F.col("k").asc()], index="place").select("k", "place"))
+        orders = t.df("orders").where(c).select(F.col("o_custkey").alias("k"), "o_orderkey", "o_totalprice")
+        running = orders.select("k", F.sum("o_totalprice").over(whole).alias("sum"), F.row_number().over(whole).alias("n"))
+        sums = running.groupBy("k").agg(F.max_by("sum", "n").alias("total"))
+        places.append(bag.top_k(sums, [F.col("total").desc(), F.col("k").asc_nulls_last()], index="place").select("k", "place"))
     return cdc.moves(*places, ["k"], "place")
 
 
